@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import split_overlap
+from daftar.llm import eval_leaks, split_overlap
 from daftar.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,13 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p1_report(s: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(_t(s, d, "qa_pairs"))
+
+
+@query
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.found(_t(s, d, "documents"), _t(s, d, "eval_items"))
+
+
+@query
+def p8_report(s: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.report(_t(s, d, "documents"), _t(s, d, "eval_items"))
