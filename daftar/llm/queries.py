@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import eval_leaks, split_overlap
+from daftar.llm import eval_leaks, site_lines, split_overlap, vector_neighbors
 from daftar.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,28 @@ def p8_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p8_report(s: SparkSession, d: str) -> DataFrame:
     return eval_leaks.report(_t(s, d, "documents"), _t(s, d, "eval_items"))
+
+
+@query
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return vector_neighbors.found(_t(s, d, "vectors"))
+
+
+@query
+def p2_neighbours(s: SparkSession, d: str) -> DataFrame:
+    return vector_neighbors.neighbours(_t(s, d, "vectors"))
+
+
+@query
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return site_lines.found(_t(s, d, "chunks"))
+
+
+@query
+def p6_lines(s: SparkSession, d: str) -> DataFrame:
+    return site_lines.report(_t(s, d, "chunks"))
+
+
+@query
+def p6_clean(s: SparkSession, d: str) -> DataFrame:
+    return site_lines.clean(_t(s, d, "chunks"))
