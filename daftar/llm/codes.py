@@ -81,7 +81,8 @@ class Words:
     """The words of a batch of texts, normalised by ``table('words')``.
 
     hashes: uint64 of every word of all texts, in order; first: index of each text's first word, one more at the
-    end; begin, end: code point offsets of each word within its own text (before normalisation by the table).
+    end; begin, end: code point offsets of each word within its own text (before normalisation by the table); number:
+    words of digits only; raw, at_begin, at_end: all code points and the words' offsets in them.
     """
 
     def __init__(self, texts: list, already: bool = False):
@@ -103,10 +104,14 @@ class Words:
             size = e - b + 1
             local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             vals = (c[keep].astype(np.uint64) + np.uint64(1)) * _powers()[local & 4095]
-            self.hashes = mix(np.add.reduceat(vals, np.cumsum(size) - size) + size.astype(np.uint64))
+            heads = np.cumsum(size) - size
+            self.hashes = mix(np.add.reduceat(vals, heads) + size.astype(np.uint64))
+            self.number = (np.minimum.reduceat(c[keep], heads) >= 48) & (np.maximum.reduceat(c[keep], heads) <= 57)
         else:
-            self.hashes = np.zeros(0, np.uint64)
+            self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.raw = raw
         pos = at[b] if n else np.zeros(0, np.int64)
+        self.at_begin, self.at_end = pos, (at[e] if n else pos) + 1
         self.text = np.searchsorted(starts, pos, "right") - 1
         self.begin = pos - starts[self.text]
         self.end = (at[e] if n else pos) + 1 - starts[self.text]

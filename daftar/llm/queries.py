@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import eval_leaks, site_lines, split_overlap, vector_neighbors
+from daftar.llm import answer_defects, eval_leaks, lookalikes, site_lines, split_overlap, vector_neighbors
 from daftar.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,28 @@ def p6_lines(s: SparkSession, d: str) -> DataFrame:
 @query
 def p6_clean(s: SparkSession, d: str) -> DataFrame:
     return site_lines.clean(_t(s, d, "chunks"))
+
+
+@query
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    return answer_defects.found(_t(s, d, "qa_pairs"))
+
+
+@query
+def p3_report(s: SparkSession, d: str) -> DataFrame:
+    return answer_defects.report(_t(s, d, "qa_pairs"))
+
+
+@query
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return lookalikes.found(_t(s, d, "qa_pairs"))
+
+
+@query
+def p4_normalised(s: SparkSession, d: str) -> DataFrame:
+    return lookalikes.normalised(_t(s, d, "qa_pairs").select("row_id", "question", "context"), ["question", "context"])
+
+
+@query
+def p4_groups(s: SparkSession, d: str) -> DataFrame:
+    return lookalikes.groups(_t(s, d, "qa_pairs"), "question")
