@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import answer_defects, eval_leaks, lookalikes, site_lines, split_overlap, vector_neighbors
+from daftar.llm import answer_defects, eval_leaks, lookalikes, mojibake, site_lines, split_overlap, vector_neighbors
 from daftar.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def p4_normalised(s: SparkSession, d: str) -> DataFrame:
 @query
 def p4_groups(s: SparkSession, d: str) -> DataFrame:
     return lookalikes.groups(_t(s, d, "qa_pairs"), "question")
+
+
+@query
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return mojibake.found(_t(s, d, "documents"))
+
+
+@query
+def p10_restored(s: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(_t(s, d, "documents"))
