@@ -3,13 +3,14 @@
 Method: randomly rotated one-bit codes.  Vectors are scaled to length one and assigned to the nearest of CELL-sized
 k-means cells.  A vector's difference from its cell's centre is rotated at random and kept as one bit per dimension
 in a packed word, with two correction scalars: the length of the difference and the inner product of the scaled
-difference with its code.  A query looks into its PROBE nearest cells: its rotated difference from the centre is
-quantised to QUERY_BITS bit planes, the inner products with all codes of the cell come from the population counts of
-the planes, and the error bound of the estimate gives each base vector a lowest and a highest possible similarity.
-Vectors whose highest lies below the k-th best lowest are out; the others are reranked by the exact product.
+difference with its code.  A query looks into its PROBE nearest cells: the inner products of its rotated difference from the centre with the codes of the cell, scaled by the
+scalars, estimate the similarities, and the error bound of the estimate gives each base vector a lowest and a highest
+possible one.  Vectors whose highest lies below the k-th best lowest are out; the others are reranked by the exact
+product.  (At 64 dimensions the product with a cell's unpacked signs in one matrix multiplication is faster in numpy
+than population counts over quantised queries; codes are what is scanned in either case.)
 
-What is approximate: neighbours in cells that are not probed, and (with a chance of about one in a thousand per
-vector) those outside the error bound.  The README has the recall measured against brute force.
+What is approximate: neighbours in cells that are not probed, and (with a chance of a few in a hundred per
+vector near the threshold) those outside the error bound.  The README has the recall measured against brute force.
 
 Fitted on a sample: only the centres, on at most SAMPLE vectors, those of smallest hashed id.  All vectors are
 indexed and all are queries.  Cells of more than BLOCK vectors are split by hashed id; a query visits all parts.
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from daftar.session import cut
 
 K, DIM = 10, 64
-CELL, PROBE, MAX_CELLS = 1000, 10, 4096
+CELL, PROBE, MAX_CELLS = 1000, 8, 4096
 SAMPLE = 40_000
-BLOCK, QUERY_BLOCK = 4096, 8192
-QUERY_BITS = 4
+BLOCK, QUERY_BLOCK = 4096, 4096
+#: Queries at a time; multiples of k that are compared first to get a threshold.
+ROWS, FIRST = 256, 4
 #: Standard deviations of the bound.
-EPSILON = 3.0
+EPSILON = 2.2
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -68,55 +70,69 @@ def centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -> np.nd
     return c
 
 
-def _pack(signs: np.ndarray) -> np.ndarray:
-    """Booleans n x dim -> n x words of 64 bits."""
-    pad = -signs.shape[1] % 64
-    return np.packbits(np.pad(signs, ((0, 0), (0, pad))), axis=1).view(np.uint64)
-
-
-def search_cell(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarray, centre: np.ndarray, rot: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the (at most k) best base rows without itself, as structured rows (s, id), s = -similarity."""
-    dim = base.shape[1]
-    d = (base - centre) @ rot
-    length = np.sqrt((d * d).sum(1))
-    safe = np.where(length > 0, length, 1)
-    codes = _pack(d > 0)
-    quality = np.where(length > 0, np.abs(d).sum(1) / safe / np.sqrt(dim), 1.0)  # product of the difference with its code
-    spread = EPSILON * np.sqrt(np.maximum(0, 1 - quality**2)) / quality / np.sqrt(dim - 1)
-    ones = np.bitwise_count(codes).sum(1).astype(np.float32)
-    to_centre = base @ centre
-    top = (1 << QUERY_BITS) - 1
-    out = []
-    for i in range(0, len(queries), 256):
-        q = queries[i : i + 256]
-        e = (q - centre) @ rot
-        lo, hi = e.min(1, keepdims=True), e.max(1, keepdims=True)
-        step = np.where(hi > lo, (hi - lo) / top, 1.0)
-        level = np.rint((e - lo) / step).astype(np.int64)
-        dots = np.zeros((len(q), len(base)), np.float32)
-        for j in range(QUERY_BITS):
-            plane = _pack((level >> j & 1).astype(bool))
-            for w in range(plane.shape[1]):
-                dots += np.bitwise_count(plane[:, w, None] & codes[None, :, w]) * np.float32(1 << j)
-        # sum over bits of +-1 times the quantised query
-        total = (2 * (dots * step + lo * ones[None, :]) - e.sum(1, keepdims=True)) / np.sqrt(dim)
-        # <o, q> = <o - c, q - c> + <o, c> + <q, c> - <c, c>
-        rest = to_centre[None, :] + (q @ centre)[:, None] - centre @ centre
-        about = total * (length / quality)[None, :] + rest
-        error = (spread * length)[None, :] * np.sqrt((e * e).sum(1, keepdims=True)) + step * np.sqrt(dim) / 4 * length[None, :]
-        self_at = qids[i : i + 256, None] == ids[None, :]
-        low = np.where(self_at, -np.inf, about - error)
-        kth = np.partition(low, -k, axis=1)[:, -k] if len(base) > k else np.full(len(q), -np.inf)
-        rows, cols = np.nonzero((about + error >= kth[:, None]) & ~self_at)
-        exact = np.round(np.einsum("ij,ij->i", q[rows], base[cols]), 12)
-        order = np.lexsort((ids[cols], -exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        best = rank < k
-        ends = np.searchsorted(rows[best], np.arange(len(q) + 1))
-        s, n = -exact[best], ids[cols[best]]
-        out += [(s[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    return out
+class Cell:
+    """One-bit codes and correction scalars of the base vectors of a cell, and the vectors for reranking."""
+
+    def __init__(self, base: np.ndarray, ids: np.ndarray, centre: np.ndarray, rot: np.ndarray):
+        dim = base.shape[1]
+        d = (base - centre) @ rot
+        length = np.sqrt((d * d).sum(1))
+        safe = np.where(length > 0, length, 1)
+        codes = np.packbits(d > 0, axis=1)
+        quality = np.where(length > 0, np.abs(d).sum(1) / safe / np.sqrt(dim), 1.0)  # product of the difference with its code
+        spread = EPSILON * np.sqrt(np.maximum(0, 1 - quality**2)) / quality / np.sqrt(dim - 1) * length
+        # <o, q> = <o - c, q - c> + <o, c> + (the same for all o); the first from the code, scaled, its error in proportion to |q - c|
+        self.side = np.empty((dim + 2, len(base)), np.float32)
+        self.side[:dim] = (np.unpackbits(codes, axis=1, count=dim).T.astype(np.float32) * 2 - 1) * (length / quality / np.sqrt(dim))
+        self.side[dim] = base @ centre
+        self.side[dim + 1] = spread
+        self.base, self.single, self.ids, self.centre, self.rot = base, base.astype(np.float32), ids, centre, rot
+        self.order = np.argsort(ids)
+
+    def _own(self, qids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.order[np.minimum(np.searchsorted(self.ids, qids, sorter=self.order), len(self.ids) - 1)]
+        rows = np.flatnonzero(self.ids[at] == qids)
+        return rows, at[rows]
+
+    def search(self, queries: np.ndarray, qids: np.ndarray, floor: np.ndarray, k: int) -> list[tuple]:
+        """For each query its best (at most k) base rows, without itself, of similarity floor or more: negated similarities and ids."""
+        out = []
+        for i in range(0, len(queries), ROWS):
+            q, f = queries[i : i + ROWS], floor[i : i + ROWS].copy()
+            single = q.astype(np.float32)
+            e = (q - self.centre) @ self.rot
+            far = np.sqrt((e * e).sum(1, keepdims=True))
+            same = (q @ self.centre) - self.centre @ self.centre
+            left = np.hstack([e, np.ones_like(far), np.zeros_like(far)]).astype(np.float32)
+            mine = self._own(qids[i : i + ROWS])
+            new = np.flatnonzero(np.isneginf(f))
+            m = min(FIRST * k, len(self.ids))
+            if len(new) and len(self.ids) > m:
+                # the k-th best of some exact products bounds the k-th best from below
+                about = left[new] @ self.side
+                place = np.full(len(q), -1)
+                place[new] = np.arange(len(new))
+                inside = place[mine[0]] >= 0
+                about[place[mine[0][inside]], mine[1][inside]] = -np.inf
+                top = np.argpartition(about, -m, axis=1)[:, -m:]
+                near = np.einsum("ij,ikj->ik", single[new], self.single[top])
+                own = np.full(len(q), -1)
+                own[mine[0]] = mine[1]
+                near[top == own[new][:, None]] = -np.inf
+                f[new] = np.partition(near, -k, axis=1)[:, -k] - 1e-5
+            left[:, -1] = far[:, 0]
+            high = left @ self.side
+            high[mine] = -np.inf
+            rows, cols = np.nonzero(high >= (f - same - 1e-5)[:, None])
+            near = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", single[rows[j : j + 16384]], self.single[cols[j : j + 16384]]) for j in range(0, len(rows), 16384))])
+            keep = near >= f[rows] - 1e-5
+            rows, cols = rows[keep], cols[keep]
+            sims = np.round(np.einsum("ij,ij->i", q[rows], self.base[cols]), 12)
+            best = np.lexsort((self.ids[cols], -sims, rows))
+            rows, cols, sims = rows[best], cols[best], sims[best]
+            at = np.searchsorted(rows, np.arange(len(q) + 1))
+            out += [(-sims[a : min(b, a + k)], self.ids[cols[a : min(b, a + k)]]) for a, b in zip(at[:-1], at[1:])]
+        return out
 
 
 def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, probe: int = PROBE) -> DataFrame:
@@ -153,21 +169,32 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, probe: int = PROB
     salts = F.array(*[F.lit(max(1, -(-query_n.get(j, 0) // QUERY_BLOCK))) for j in range(cells)])
     h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")
     lists = at.select("vec_id", "embedding", F.element_at("near", 1).alias("cell"), h.alias("h"))
-    base = lists.select("vec_id", "embedding", "cell", F.pmod(F.col("h"), F.get(parts, F.col("cell"))).alias("part"), F.explode(F.sequence(F.lit(0), F.get(salts, F.col("cell")) - 1)).alias("salt"), F.lit(False).alias("query"))
-    q = at.select("vec_id", "embedding", F.explode("near").alias("cell"), h.alias("h"))
-    q = q.where(F.get(parts, F.col("cell")) > 0)
-    q = q.select("vec_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)).alias("part"), F.pmod(F.col("h"), F.get(salts, F.col("cell"))).alias("salt"), F.lit(True).alias("query"))
+    base = lists.select("vec_id", "embedding", "cell", F.pmod(F.col("h"), F.get(parts, F.col("cell"))).alias("part"), F.explode(F.sequence(F.lit(0), F.get(salts, F.col("cell")) - 1)).alias("salt"), F.lit(None).cast("double").alias("floor"))
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c, rot = shared.value
-        b, qs = pdf[~pdf["query"]], pdf[pdf["query"]]
+        b, qs = pdf[pdf["floor"].isna()], pdf[pdf["floor"].notna()]
         if not len(b) or not len(qs):
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "s": pd.Series(dtype=object), "n": pd.Series(dtype=object)})
-        found = search_cell(unit(b.embedding), b.vec_id.to_numpy(), unit(qs.embedding), qs.vec_id.to_numpy(), c[key[0]], rot, k)
-        return pd.DataFrame({"vec_id": qs.vec_id.to_numpy(), "s": [x[0] for x in found], "n": [x[1] for x in found]})
-
-    some = base.union(q).groupBy("cell", "part", "salt").applyInPandas(search, "vec_id long, s array<double>, n array<long>")
-    best = some.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("s", "n")))), 1, k).alias("best"))  # at most probe x parts x k numbers
+        cell = Cell(unit(b.embedding), b.vec_id.to_numpy(), c[key[0]], rot)
+        found = cell.search(unit(qs.embedding), qs.vec_id.to_numpy(), np.where(qs.floor < -1.5, -np.inf, qs.floor), k)
+        some = [(v, x[0], x[1]) for v, x in zip(qs.vec_id, found) if len(x[0])]
+        return pd.DataFrame(some, columns=["vec_id", "s", "n"])
+
+    def visit(q: DataFrame) -> DataFrame:
+        """Lists of the queries (vec_id, embedding, cell, h, floor) from all parts of their cells."""
+        q = q.where(F.get(parts, F.col("cell")) > 0)
+        q = q.select("vec_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)).alias("part"), F.pmod(F.col("h"), F.get(salts, F.col("cell"))).alias("salt"), "floor")
+        return base.union(q).groupBy("cell", "part", "salt").applyInPandas(search, "vec_id long, s array<double>, n array<long>")
+
+    def merged(some: DataFrame) -> DataFrame:
+        return some.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("s", "n")))), 1, k).alias("best"))  # at most probe x parts x k numbers
+
+    # the home cell first: its k-th best is the floor in the others, which leaves little to rerank there
+    home = cut(merged(visit(lists.withColumn("floor", F.lit(-2.0)))))
+    floor = home.select("vec_id", F.when(F.size("best") == k, -F.get("best", F.lit(k - 1)).s).otherwise(-2.0).alias("floor"))
+    rest = at.select("vec_id", "embedding", F.explode(F.slice("near", 2, probe)).alias("cell"), h.alias("h")).join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    best = merged(visit(rest).union(home.select("vec_id", "best.s", "best.n")))
     # copies: lists of representatives become lists of rows
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     copied = reps.where("copies > 1").select("embedding", F.col("vec_id").alias("rep"))
