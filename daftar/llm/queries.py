@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import answer_defects, eval_leaks, lookalikes, mojibake, site_lines, split_overlap, vector_neighbors
+from daftar.llm import answer_defects, eval_leaks, lookalikes, mixing, mojibake, pieces, scan_noise, site_lines, split_overlap, vector_neighbors
 from daftar.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,33 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p10_restored(s: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(_t(s, d, "documents"))
+
+
+@query
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return pieces.found(_t(s, d, "chunks"), _t(s, d, "sources"), _t(s, d, "split_limits"))
+
+
+@query
+def p5_pieces(s: SparkSession, d: str) -> DataFrame:
+    return pieces.numbered(_t(s, d, "chunks"), _t(s, d, "sources"), _t(s, d, "split_limits"))
+
+
+@query
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    return scan_noise.found(_t(s, d, "chunks"), _t(s, d, "qa_pairs"), _t(s, d, "sources"))
+
+
+@query
+def p7_repaired(s: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired(_t(s, d, "chunks"), _t(s, d, "qa_pairs"), _t(s, d, "sources"))
+
+
+@query
+def p9_mixture(s: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(_t(s, d, "documents"), _t(s, d, "mix_targets"))
+
+
+@query
+def p9_shares(s: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_t(s, d, "documents"), _t(s, d, "mix_targets"))
