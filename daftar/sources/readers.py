@@ -19,10 +19,10 @@ OCR_SCHEMA = "source string, pages array<struct<page_number:int,lines:array<stru
 
 def text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """source, page_content of whole text files; a directory is not read recursively, ``glob`` filters its files."""
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("page_content"))
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("page_content"))
 
 
 def load_and_split(spark: SparkSession, path: str, separator: str, size: int, overlap: int = 0, glob: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from daftar.operators.chunking import marker_split
 
 def chunk_stream(spark: SparkSession, directory: str, separator: str = "Page number", size: int = 1000, overlap: int = 0) -> DataFrame:
     """Text files that arrive in a directory, as cleaned chunks: source, position, page_content."""
-    s = spark.readStream.option("wholetext", True).text(directory).withColumn("source", source_label(F.col("_metadata.file_path")))
+    s = spark.readStream.text(directory, wholetext=True).withColumn("source", source_label(F.col("_metadata.file_path")))
     c = s.select("source", F.posexplode(marker_split("value", separator, size, overlap)).alias("position", "page_content"))
     return c.withColumn("page_content", clean_arabic("page_content"))
 
