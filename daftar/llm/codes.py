@@ -55,6 +55,7 @@ def table(kind: str) -> np.ndarray:
             out[c] = ord(ch.lower()[0])
     if kind == "words":
         out[0x0640] = 0
+        out[out == 0x0649] = 0x064A  # the two yehs are written for each other
     return out
 
 

@@ -36,6 +36,8 @@ _UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180
 _SCRIPTS = "Ͱ-ϿЀ-ԯᎠ-᏿Ա-֏"
 _OTHER = re.compile(rf"[{_SCRIPTS}]")
 _WORD = re.compile(r"\w+")
+#: The yeh of other languages has no dots at the end of a word.
+_FINAL_YEH = re.compile("[\u06cc\u06d2](?!\\w)")
 BLOCK = 2000
 
 
@@ -79,6 +81,7 @@ def _suspects() -> np.ndarray:
 def canonical(text: str) -> str:
     """The one form of a text."""
     table = forms()
+    text = _FINAL_YEH.sub("\u0649", text)
     if _OTHER.search(text):
         # words truly of another script stay
         def word(m: re.Match) -> str:

@@ -1,0 +1,412 @@
+import random
+import unicodedata
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from daftar.llm import answer_defects, eval_leaks, lookalikes, mixing, mojibake, pieces, scan_noise, site_lines, split_overlap, vector_neighbors
+from daftar.llm.codes import Words, grams, winnow
+
+D = "/root/testdata/sf0.001"
+
+
+# --- 1 ---------------------------------------------------------------------------------------------------------
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_edit_distance(a, b):
+    t = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, t[0] = t[0], i
+        for j, y in enumerate(b, 1):
+            before, t[j] = t[j], min(t[j] + 1, t[j - 1] + 1, before + (x != y))
+    assert split_overlap.edit_distance(a, b) == t[-1]
+    assert split_overlap.chained_distance(a, b, 2) >= t[-1]
+
+
+def test_winnowing_guarantee():
+    rnd = random.Random(1)
+    for _ in range(200):
+        run = [str(rnd.randrange(50)) for _ in range(5)]
+        texts = [" ".join([str(rnd.randrange(50)) for _ in range(rnd.randrange(9))] + run + [str(rnd.randrange(50)) for _ in range(rnd.randrange(9))]) for _ in range(2)]
+        w = Words(texts)
+        g, at = grams(w.hashes, w.text, 4)
+        kept = winnow(g, at, w.text, 2)
+        a, b = (set(g[kept][w.text[at[kept]] == i].tolist()) for i in (0, 1))
+        assert a & b
+
+
+@pytest.mark.parametrize("hot", [10**9, 3, 0])
+def test_overlaps_equal_brute_force(spark, hot):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+
+    def text(n):
+        return [rnd.choice(vocabulary) for _ in range(n)]
+
+    def change(words):
+        out = list(words)
+        for _ in range(len(words) // 8):
+            i = rnd.randrange(len(out))
+            rnd.choice([lambda: out.pop(i), lambda: out.insert(i, "neu"), lambda: out.__setitem__(i, "neu")])()
+        return out
+
+    rows, n = [], 0
+    for i in range(60):
+        q, c = text(rnd.randrange(8, 25)), text(rnd.randrange(30, 90))
+        for split in ("train", rnd.choice(["validation", "test"])) if i % 2 else ("train",):
+            n += 1
+            a, b = (q, c) if split == "train" else (change(q), change(c))
+            rows.append((n, split, "s", " ".join(a) + "؟", "\n".join(b)))
+    rows += [(900, "test", "s", None, "c"), (901, "train", "s", "q", None), (902, "test", "s", "!", "!")]
+    qa = spark.createDataFrame(rows, "row_id long, split string, source string, question string, context string")
+    got = {(r.row_id_a, r.row_id_b) for r in split_overlap.found(qa.repartition(3)).collect()} if hot == 10**9 else {tuple(sorted((r.train_id, r.eval_id))) for r in split_overlap.overlaps(qa, hot).collect()}
+    want = set()
+    for a in rows[:-3]:
+        for b in rows[:-3]:
+            if a[1] == "train" != b[1]:
+                far = [split_overlap.edit_distance(x.rstrip("؟").split(), y.rstrip("؟").split()) / max(len(x.split()), len(y.split())) for x, y in ((a[3], b[3]), (a[4], b[4]))]
+                if max(far) <= split_overlap.DIFFER:
+                    want.add(tuple(sorted((a[0], b[0]))))
+    assert len(want) == 30 and got == want
+
+
+def test_overlap_ignores_forms(spark):
+    a = "How can the debtor divide the boundary plan if the employer has refused"
+    rows = [(1, "train", "s", a, "قانون العمل المُوَحَّد في المادة ١٢ من النظام"), (2, "test", "t", "Ηοw  can the DEBTOR divide, the boundary plan​ if the employer has refused?", "قانون العمل الموحد في المادة 12 من النظام"), (3, "test", "t", a, "لائحة أخرى تماماً لا علاقة لها بما سبق من القول")]
+    qa = spark.createDataFrame(rows, "row_id long, split string, source string, question string, context string")
+    assert [(r.row_id_a, r.row_id_b) for r in split_overlap.found(qa).collect()] == [(1, 2)]
+    r = {(x.split, x.source): (x.records, x.leaked) for x in split_overlap.report(qa).collect()}
+    assert r == {("test", "t"): (2, 1)}
+
+
+# --- 2 ---------------------------------------------------------------------------------------------------------
+
+
+def test_neighbours_recall_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(vector_neighbors, "CELL", 150)
+    monkeypatch.setattr(vector_neighbors, "BLOCK", 100)
+    monkeypatch.setattr(vector_neighbors, "QUERY_BLOCK", 300)
+    rng = np.random.default_rng(3)
+    mid = rng.standard_normal((12, 64))
+    x = mid[rng.integers(0, 12, 1500)] + 0.6 * rng.standard_normal((1500, 64))
+    x[100:140] = x[100]  # a class of copies
+    x *= rng.uniform(0.1, 9, (1500, 1))
+    x[100:140] = x[100]
+    rows = [(i + 1, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 64), (5002, [1.0] * 48), (5003, [float("nan")] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in vector_neighbors.neighbours(df).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append(r.neighbour_id)
+    u = np.array([r[1] for r in rows[:1500]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for i in range(1500):
+        s = np.round(u @ u[i], 12)
+        s[i] = -9
+        want = (np.lexsort((np.arange(1500), -s))[:10] + 1).tolist()
+        assert i + 1 not in got[i + 1] and len(got[i + 1]) == 10
+        hit += len(set(want) & set(got[i + 1]))
+        if 100 <= i < 140:
+            assert got[i + 1] == [j for j in range(101, 113) if j != i + 1][:10]
+    assert hit >= 0.97 * 15000
+    assert not set(got) & {5000, 5001, 5002, 5003}
+
+
+# --- 3 ---------------------------------------------------------------------------------------------------------
+
+
+def test_defects(spark):
+    c = "يجب على المدين سداد الرسم خلال 5 أيام. يلتزم البائع بتسليم المبيع إلى المشتري."
+    q = "متى يجب على المدين سداد الرسم المستحق؟"
+    e = "When must the debtor pay the fee that is due?"
+    cases = [
+        (q, None, "empty"), (q, " ​\n", "empty"), (q, "N/A", "empty"), (q, "_____", "empty"), (q, "لا شيء", "empty"), (q, "«»", "empty"),
+        (q, "عذراً، لا أستطيع الإجابة عن هذا السؤال", "refusal"), (e, "I'm sorry, but I can't help with that request.", "refusal"), (e, "Désolé, le passage fourni ne contient pas la réponse...", "refusal"),
+        (q, "يعتذر المدين كتابة ثم يلتزم البائع بتسليم المبيع إلى المشتري.", None),
+        (q, q, "copy"), (q, "الجواب: " + q, "copy"), (q, f"{q} {q}", "copy"), (e, "(" + e.upper() + ")", "copy"), (q, q + " والجواب أنه يلتزم البائع بتسليم المبيع إلى المشتري.", None),
+        (q, "The debtor must pay the fee within the agreed term.", "language"), (e, "Le débiteur doit payer la somme avant que le délai soit fini.", "language"), (e, "يلتزم البائع بتسليم المبيع إلى المشتري.", "language"),
+        (q, "يلتزم البائع بتسليم المبيع إلى،", "truncated"), (q, "يلتزم البائع بتسليم (المادة", "truncated"), (q, "يلتزم البائع. ثانياً:", "truncated"), (e, "The debtor must pay the fee. 2)", "truncated"), (q, "يلتزم البائع بتسليم المب", "truncated"), (q, "يلتزم البائع بتسليم…", "truncated"), (q, "يلتزم البائع بتسليم المبيع إلى", "truncated"),
+        (q, "يلتزم البائع بتسليم المبيع إلى المشتري", None), (q, "يلتزم البائع بتسليم المبيع إلى المشتري.", None), (None, "يلتزم البائع بتسليم المبيع إلى المشتري.", None), (None, None, "empty"),
+    ]
+    rows = [(i, "s", x, c, a) for i, (x, a, _) in enumerate(cases)]
+    qa = spark.createDataFrame(rows, "row_id long, source string, question string, context string, answer string")
+    got = {r.row_id: r.defect for r in answer_defects.found(qa).collect()}
+    assert [(i, got.get(i)) for i in range(len(cases))] == [(i, d) for i, (_, _, d) in enumerate(cases)]
+    assert sum(r.rows for r in answer_defects.report(qa).collect()) == len(got)
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=10), st.lists(st.sampled_from("abcde"), max_size=12), st.integers(1, 4))
+@settings(max_examples=200, deadline=None)
+def test_suffix_automaton(q, a, run):
+    runs = {tuple(q[i:j]) for i in range(len(q)) for j in range(i + 1, len(q) + 1)}
+    want = [any(tuple(a[i:j]) in runs for i in range(k + 1) for j in range(k + 1, len(a) + 1) if j - i >= run) for k in range(len(a))]
+    assert answer_defects.SuffixAutomaton(q).copied(a, run) == want
+
+
+# --- 4 ---------------------------------------------------------------------------------------------------------
+
+
+def test_canonical():
+    same = {"ＳＥＣ": "SEC", "SЕС-9": "SEC-9", "οf thе": "of the", "café": "café", "الجدار‌ الفاصل": "الجدار الفاصل", "ﻻ ﺍﻟﻤﺎﺩﺓ": "لا المادة", "علی کتاب ۰۸": "على كتاب ٠٨", "a b　c": "a b c", "أحكام": "أحكام", "in\xadvisible": "invisible"}
+    for a, b in same.items():
+        assert lookalikes.canonical(a) == unicodedata.normalize("NFC", b), a
+    for t in ("نص عادي مُشَكَّل ـ ممدود\n12 a\tb", "Москва и Київ", "x² ½ é", "«São» £ § ±"):
+        t = unicodedata.normalize("NFC", t)
+        assert lookalikes.canonical(t) == t
+
+
+@given(st.text(max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_canonical_is_a_fixed_point(t):
+    a = lookalikes.canonical(t)
+    assert lookalikes.canonical(a) == a
+    assert lookalikes.suspicious([t])[0] or a == t
+
+
+def test_lookalike_groups(spark):
+    rows = [(1, "How can", "c"), (2, "Ηow can", None), (3, None, "ﺍﻟﻌﻘﺪ"), (4, "other", "")]
+    qa = spark.createDataFrame(rows, "row_id long, question string, context string")
+    assert sorted(map(tuple, lookalikes.found(qa).collect())) == [(2, "question"), (3, "context")]
+    g = lookalikes.groups(qa, "question").collect()
+    assert [(r.rows, r.originals) for r in g] == [(2, 2)]
+    n = {r.row_id: r.question for r in lookalikes.normalised(qa, ["question", "context"]).collect()}
+    assert n[1] == n[2] and n[3] is None
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------
+
+
+@given(st.text(alphabet="abج .،\n", max_size=150), st.integers(1, 40), st.integers(0, 45))
+@settings(max_examples=400, deadline=None)
+def test_pieces(text, limit, overlap):
+    c = pieces.cuts(text, limit, overlap)
+    assert all(b - a <= limit for a, b in c) and c[0][0] == 0 and c[-1][1] == len(text)
+    assert text == text[: c[0][1]] + "".join(text[p[1] : q[1]] for p, q in zip(c, c[1:]))
+    assert all(p[1] - q[0] == min(overlap, limit - 1) for p, q in zip(c, c[1:]))
+    assert (len(c) == 1) == (len(text) <= limit)
+
+
+def test_cohesion_equals_direct_count():
+    rnd = random.Random(2)
+    words = [rnd.choice("abcdef") for _ in range(120)]
+    text = " ".join(words)
+    at = np.arange(2, len(text), 2)
+    got = pieces.cohesion(Words([text]), at)
+    for g, p in zip(got, range(1, 120)):
+        a, b = Counter(words[max(0, p - pieces.BLOCK_WORDS) : p]), Counter(words[p : p + pieces.BLOCK_WORDS])
+        want = sum(a[x] * b[x] for x in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        assert abs(g - want) < 1e-9
+
+
+def test_cut_at_topic_change():
+    a = "العقد شريعة المتعاقدين والعقد ملزم. " * 12
+    b = "تطير الطيور فوق البحر كل صباح. " * 12
+    text = a + b
+    assert abs(pieces.cuts(text, 500, 0)[0][1] - len(a)) <= 2
+
+
+def test_numbering(spark):
+    c = spark.read.parquet(f"{D}/chunks.parquet")
+    p = pieces.numbered(c, spark.read.parquet(f"{D}/sources.parquet"), spark.read.parquet(f"{D}/split_limits.parquet")).toPandas()
+    for _, g in p.groupby("source"):
+        assert sorted(g.chunk_id) == list(range(1, len(g) + 1))
+        o = g.sort_values("chunk_id")
+        assert (o.old_chunk_id.diff().dropna() >= 0).all()
+
+
+# --- 6 ---------------------------------------------------------------------------------------------------------
+
+
+def key(line):
+    line = unicodedata.normalize("NFKC", line)
+    return "".join(x.lower() for x in line if unicodedata.category(x)[0] in "LN" and x != "ـ")
+
+
+def test_repeated_lines_equal_brute_force(spark):
+    rnd = random.Random(4)
+    rows, k = [], 0
+    lines = ["Back to top", "BACK​ to—top!", "جميع الحقوق محفوظة FoDi 2013", "جميع الحُقوق محفـوظة fodi 2013", "***", "", "جميع الحقوق محفوظة FoDi 2014"]
+    for s, n in (("a", 30), ("b", 200), (None, 9)):
+        for _ in range(n):
+            k += 1
+            body = [f"text {rnd.randrange(10**6)}"] * 2 + [x for x in lines if rnd.random() < (0.3 if s == "a" else 0.03)]
+            rnd.shuffle(body)
+            rows.append((k, s, "\n".join(body)))
+    rows.append((k + 1, "a", None))
+    count, total = defaultdict(set), Counter(r[1] for r in rows)
+    for i, s, t in rows:
+        for x in (t or "").split("\n"):
+            if s and key(x):
+                count[s, key(x)].add(i)
+    want = {(i, j + 1) for i, s, t in rows if s and t for j, x in enumerate(t.split("\n")) if key(x) and len(count[s, key(x)]) >= max(5, 0.05 * total[s])}
+    df = spark.createDataFrame(rows, "chunk_key long, source string, page_content string")
+    assert {(r.chunk_key, r.line_no) for r in site_lines.found(df).collect()} == want and want
+    c = {r.chunk_key: r for r in site_lines.clean(df).collect()}
+    for i, s, t in rows:
+        kept = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j + 1) not in want)
+        assert c[i].page_content == kept
+    assert sum(r.lines for r in site_lines.report(df).collect()) == len(want)
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def lex():
+    words = "the landlord must deliver inventory of pledge notice to court under article and seal it before hearing procès-verbal procès verbal العقار المفرز في قانون المحكمة على المدين سداد الرسم تسليم".split()
+    return scan_noise.Lexicon({w: 1000 for w in words} | {"عقد": 4000, "عقذ": 12})
+
+
+def page(text, lex, titles=("Practical Notes on the Lease",)):
+    bare = [[x for x in scan_noise.fold(t) if not x.isspace()] for t in titles]
+    p = scan_noise.Page(text, bare, set(), lex)
+    return p, p.paragraphs()
+
+
+def test_scan_noise(lex):
+    p, t = page("the landl-\nord must de1iver the inven¬\n— 12 —\ntory of the\nPract!cal Notes on the Lease | 77\npledge noticc.", lex)
+    assert p.kinds == {"hyphen", "char", "page_number", "header"}
+    assert t == "the landlord must deliver the inventory of the pledge notice."
+    p, t = page("the procès-\nverbal of the court.\nالمادة 9", lex)
+    assert p.kinds == set() and "procès-verbal" in t
+    for line in ("صفحة 531", "- ٤٦٣ -", "[9]", "9 / 12", "Page number: 193", "ص 4", "17"):
+        assert page(f"the court\n{line}\nunder article", lex)[0].kinds == {"page_number"}, line
+    p, t = page("قانون ا1مفرز على العق|ر", lex)
+    assert p.kinds == {"char"} and t == "قانون المفرز على العقار"
+    assert page("ABX-77 zzkq الموكل", lex)[0].kinds == set()
+    assert "عقد" in lex.cost and "عقذ" not in lex.cost  # a frequent misreading
+
+
+def test_decode_splits_and_merges(lex):
+    assert scan_noise.decode(["thecourt"], lex) == [("split", "the court")]
+    assert scan_noise.decode(["land", "lord"], lex)[0] == ("merge", "landlord")
+
+
+def test_scan_noise_end_to_end(spark):
+    words = "the landlord must deliver the inventory of the pledge notice to the court under the article"
+    rows = [(i, "p", words) for i in range(40)] + [(100, "s", words.replace("landlord", "landl0rd")), (101, "p", words.replace("landlord", "landl0rd")), (102, None, "the inven-\ntory\nThe Big Title\n5"), (103, "s", None), (104, "s", "")]
+    chunks = spark.createDataFrame(rows, "chunk_key long, source string, page_content string")
+    qa = spark.createDataFrame([(1, "s", "the land¬\nlord")], "row_id long, source string, context string")
+    sources = spark.createDataFrame([("p", "portal", "X"), ("s", "scan", "The Big Title")], "source string, kind string, title string")
+    got = sorted(map(tuple, scan_noise.found(chunks, qa, sources).collect()))
+    assert got == [("chunks", 100, "char"), ("chunks", 102, "header"), ("chunks", 102, "hyphen"), ("chunks", 102, "page_number"), ("qa_pairs", 1, "hyphen")]
+    r = {x.row_key: x.text for x in scan_noise.repaired(chunks, qa, sources).collect()}
+    assert r[102] == "the inventory" and r[100] == words
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------
+
+
+def holds(doc, item, n=25, most=2):
+    """Whether n running words of item are in doc with at most ``most`` edits: semi-global alignment of every window."""
+    for i in range(len(item) - n + 1):
+        row = [0] * (len(doc) + 1)
+        for j, x in enumerate(item[i : i + n], 1):
+            before, row[0] = row[0], j
+            for k, y in enumerate(doc, 1):
+                before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (x != y))
+        if min(row) <= most:
+            return True
+    return False
+
+
+def test_leaks_equal_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, "test", [rnd.choice(vocabulary) for _ in range(rnd.choice([10, 26, 60]))]) for i in range(8)]
+    docs = []
+    for d in range(70):
+        body = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 60))]
+        it = rnd.choice(items)[2]
+        n = rnd.choice([12, 20, 24, 25, 26, 40])
+        if len(it) >= n:
+            i = rnd.randrange(len(it) - n + 1)
+            part = it[i : i + n]
+            for _ in range(rnd.randrange(4)):
+                j = rnd.randrange(1, len(part) - 1)
+                rnd.choice([lambda: part.pop(j), lambda: part.insert(j, "zz"), lambda: part.__setitem__(j, "zz")])()
+            at = rnd.randrange(len(body) + 1)
+            body[at:at] = part
+        docs.append((d, body))
+    want = {(d, i) for d, b in docs for i, _, t in items if holds(b, t)}
+    documents = spark.createDataFrame([(d, "  \n".join(x.upper() + "," for x in b)) for d, b in docs] + [(99, None), (98, "")], "doc_id long, text string")
+    ev = spark.createDataFrame([(i, s, " ".join(t)) for i, s, t in items] + [(77, "test", None)], "item_id long, split string, text string")
+    got = {(r.doc_id, r.item_id) for r in eval_leaks.found(documents, ev).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 15
+    r = {x.item_id: x.documents for x in eval_leaks.report(documents, ev).collect()}
+    assert sum(r.values()) == len(got) and r[77] == 0
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(eval_leaks, "ITEM_WORDS", 30)
+    items = [(i, "test", " ".join(f"i{i}w{j}" for j in range(26))) for i in range(4)]
+    ev = spark.createDataFrame(items, "item_id long, split string, text string")
+    docs = spark.createDataFrame([(i, t) for i, _, t in items], "doc_id long, text string")
+    assert sorted(map(tuple, eval_leaks.found(docs, ev).collect())) == [(i, i) for i in range(4)]
+
+
+# --- 9 ---------------------------------------------------------------------------------------------------------
+
+
+def test_mixture(spark):
+    rnd = random.Random(9)
+    shares = {"a": 0.5, "b": 0.3, "c": 0.2}
+    docs = [(i, rnd.choice("aaaabbc"), "word " * rnd.randrange(1, 60)) for i in range(3000)] + [(5000, None, "x"), (5001, "a", None), (5002, "a", ""), (5003, "zz", "x")]
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    t = spark.createDataFrame([(k, v, 3) for k, v in shares.items()] + [("none", 0.0, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.mixture(d, t).toPandas()
+    assert m.doc_id.is_unique and m.copies.between(1, 3).all() and set(m.source) == set(shares)
+    s = {r.source: r for r in mixing.shares(d, t).collect()}
+    for k, v in shares.items():
+        assert abs(s[k].reached_share - v) < 0.01 and s[k].most_copies <= 3
+    assert s["none"].documents == 0
+    big = {r.source: r for r in mixing.shares(d, t, total=1e9).collect()}
+    assert all(big[k].most_copies == 3 for k in shares)
+    half = mixing.mixture(d, t, total=2000.0).toPandas()
+    assert abs((half.copies * half.n_tokens).sum() - 2000) < 200
+
+
+def test_copies_brute_force():
+    """floor(u + r i) - floor(u + r (i - 1)) sums to floor or ceil of r n and never exceeds ceil(r)."""
+    for r in (0.3, 1.0, 2.7):
+        c = [int(np.floor(0.41 + r * i) - np.floor(0.41 + r * (i - 1))) for i in range(1, 500)]
+        assert max(c) <= np.ceil(r) and abs(sum(c) - r * 499) <= 1
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------
+
+
+def garble(text, read, true, times=1):
+    chars = mojibake._bytes_of(read)
+    for _ in range(times):
+        text = "".join(chars[b] for b in text.encode(true))
+    return text
+
+
+def test_garbled_round_trip(spark):
+    docs = [(r.doc_id, r.source, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").collect()]
+    clean = [d for d in docs if "?" not in d[2] and not mojibake._strange(np.frombuffer(d[2].encode("utf-32-le"), np.uint32)).any()]
+    arabic = [d for d in clean if sum("ا" <= x <= "ي" for x in d[2]) > 150][:40]
+    cases = [("cp1252", "utf_8", 1), ("latin_1", "utf_8", 1), ("cp437", "utf_8", 1), ("cp1251", "utf_8", 1), ("mac_roman", "utf_8", 1), ("cp1256", "utf_8", 1), ("cp1252", "utf_8", 2), ("latin_1", "cp1256", 1), ("latin_1", "iso8859_6", 1)]
+    rows, truth = [(d, s, t) for d, s, t in clean], {}
+    for i, d in enumerate(arabic):
+        read, true, times = cases[i % len(cases)]
+        try:
+            bad = garble(d[2].translate({0x60C: ",", 0x61B: ";", 0x61F: "?"} if true != "utf_8" else {}), read, true, times)
+        except UnicodeEncodeError:
+            continue
+        truth[100_000 + i] = (d[2], true)
+        rows.append((100_000 + i, d[1], bad))
+    df = spark.createDataFrame(rows + [(200_000, "s", "��� ��"), (200_001, "s", "???? ??? ?? ???"), (200_002, "s", "Is that so??? Yes."), (200_003, None, None)], "doc_id long, source string, text string")
+    got = {r.doc_id for r in mojibake.found(df).collect()}
+    assert got == set(truth) | {200_000, 200_001}
+    back = {r.doc_id: r for r in mojibake.restored(df).collect()}
+    right = sum(back[i].text == t for i, (t, true) in truth.items() if true == "utf_8")
+    assert right >= 0.95 * sum(true == "utf_8" for _, true in truth.values())
+    assert not back[200_000].whole and not back[200_001].whole
