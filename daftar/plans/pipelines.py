@@ -31,7 +31,7 @@ def build_index(docs: DataFrame, embedder: Embedder, separator: str = "Page numb
     chunks = docs.select("source", F.posexplode(marker_split(text, separator, size, overlap)).alias("position", "document"))
     if not clean_first:
         chunks = chunks.withColumn("document", clean_arabic("document"))
-    chunks = by_order(chunks, F.coalesce("source", F.lit("")), ["position"], "n")
+    chunks = by_order(chunks, F.struct(F.coalesce("source", F.lit("")).alias("s"), F.floor(F.col("position") / 1024).alias("p")), ["position"], "n")
     rows = vector_ids(chunks, "n").withColumn("metadata", F.to_json(F.struct(source_label("source").alias("source"), F.col("n").alias("chunk_id"))))
     return embed(rows.select("id", "document", "metadata"), "document", embedder)
 

@@ -265,7 +265,8 @@ def chunk_stats(s: SparkSession, d: str) -> DataFrame:
 def chunk_numbers(s: SparkSession, d: str) -> DataFrame:
     """Numbers over all sources in order, and vector ids."""
     c = table(s, d, "chunks").select("chunk_key", "source", "chunk_id")
-    n = numbering.by_order(c, F.coalesce("source", F.lit("")), ["chunk_id", "chunk_key"], "position")
+    block = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.floor(F.col("chunk_id") / 1024).alias("c"))
+    n = numbering.by_order(c, block, ["chunk_id", "chunk_key"], "position")
     return numbering.vector_ids(n, "position").select("chunk_key", "position", "id")
 
 
