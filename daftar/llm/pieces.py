@@ -152,10 +152,10 @@ def numbered(chunks: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFr
     The numbers come from counts per block of old numbers, so a source with a third of all rows is no single task.
     """
     p = pieces(chunks, sources, limits)
-    block = (F.coalesce("old_chunk_id", F.lit(0)) / 64).cast("long")
+    block = (F.coalesce("old_chunk_id", F.lit(0)) / 1024).cast("long")
     p = cut(p.withColumn("_block", block).withColumn("_source", F.coalesce("source", F.lit(""))))
     n = p.groupBy("_source", "_block").agg(F.count("*").alias("n"))
-    # one row per 64 old numbers
+    # one row per 1024 old numbers
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     here = F.row_number().over(Window.partitionBy("_source", "_block").orderBy("old_chunk_id", "chunk_key", "piece"))
     j = p.withColumn("_here", here).join(before, ["_source", "_block"])

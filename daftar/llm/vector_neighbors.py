@@ -165,11 +165,11 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, probe: int = PROB
     # sizes of at most MAX_CELLS cells
     base_n = {r[0]: r[1] for r in at.groupBy(F.element_at("near", 1)).count().collect()}
     query_n = {r[0]: r[1] for r in at.select(F.explode("near").alias("c")).groupBy("c").count().collect()}
-    parts = F.array(*[F.lit(-(-base_n.get(j, 0) // BLOCK)) for j in range(cells)])
-    salts = F.array(*[F.lit(max(1, -(-query_n.get(j, 0) // QUERY_BLOCK))) for j in range(cells)])
+    sizes = spark.createDataFrame([(j, -(-base_n.get(j, 0) // BLOCK), max(1, -(-query_n.get(j, 0) // QUERY_BLOCK))) for j in range(cells)], "cell int, parts int, salts int")
+    sizes = F.broadcast(sizes.where("parts > 0"))
     h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")
     lists = at.select("vec_id", "embedding", F.element_at("near", 1).alias("cell"), h.alias("h"))
-    base = lists.select("vec_id", "embedding", "cell", F.pmod(F.col("h"), F.get(parts, F.col("cell"))).alias("part"), F.explode(F.sequence(F.lit(0), F.get(salts, F.col("cell")) - 1)).alias("salt"), F.lit(None).cast("double").alias("floor"))
+    base = lists.join(sizes, "cell").select("vec_id", "embedding", "cell", F.pmod("h", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("double").alias("floor"))
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c, rot = shared.value
@@ -183,8 +183,7 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, probe: int = PROB
 
     def visit(q: DataFrame) -> DataFrame:
         """Lists of the queries (vec_id, embedding, cell, h, floor) from all parts of their cells."""
-        q = q.where(F.get(parts, F.col("cell")) > 0)
-        q = q.select("vec_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)).alias("part"), F.pmod(F.col("h"), F.get(salts, F.col("cell"))).alias("salt"), "floor")
+        q = q.join(sizes, "cell").select("vec_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod("h", "salts").alias("salt"), "floor")
         return base.union(q).groupBy("cell", "part", "salt").applyInPandas(search, "vec_id long, s array<double>, n array<long>")
 
     def merged(some: DataFrame) -> DataFrame:
