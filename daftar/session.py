@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     known = getattr(spark.sparkContext, "_daftar_scratch", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="daftar-")
+        own = tempfile.mkdtemp(prefix="daftar-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        known = "file://" + own
         spark.sparkContext._daftar_scratch = known
     return known
 
