@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from daftar.session import cut
 
 K, DIM = 10, 64
-CELL, PROBE, MAX_CELLS = 1000, 8, 4096
+CELL, PROBE, MAX_CELLS = 1000, 12, 4096
 SAMPLE = 40_000
 BLOCK, QUERY_BLOCK = 4096, 4096
 #: Queries at a time; multiples of k that are compared first to get a threshold.
 ROWS, FIRST = 256, 4
 #: Standard deviations of the bound.
-EPSILON = 2.2
+EPSILON = 3.0
 
 
 def unit(rows: pd.Series) -> np.ndarray:
