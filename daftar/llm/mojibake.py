@@ -1,16 +1,20 @@
 """Problem 10: text that was decoded with the wrong character encoding.
 
-Method: substitution ciphers learned by expectation-maximisation against language bigrams, applied with translate().
-A wrong decoding replaces every byte (or byte sequence) of the true code page by a fixed character of the assumed
-one, so a garbled passage is a cipher text whose key is a pair of code pages.  The keys are tables byte -> character
-built from Python's codecs: single bytes for single bytes, byte sequences (UTF-8) for single bytes, and the latter
-twice.  Hidden is which key garbled a document.  E step: the probability of each key, from the bigram likelihood of
-the document's suspicious words under the key times the source's share of the key.  M step: the shares of the keys
-of each source, from the probabilities of all its documents.  A document is garbled if, after EM, the best key makes
-its words more likely than they are by GAIN nats (each word by WORD_GAIN); its words are then translated back.
-
-A cipher learned without code pages (any character for any byte) was not used: a source has too few letters per key
-for it, and the keys are few and known; the README says so.
+Method: code-page swaps as substitution ciphers, learned by expectation-maximisation against language bigrams and
+applied with translate().  A wrong decoding replaces every byte (or byte sequence) of the true code page by a fixed
+character of the assumed one.  Two rounds of EM:
+
+1. Which swap (key: a pair of code pages, also UTF-8 read as single bytes, once or twice) garbled a document is
+   hidden.  E step: the probability of each key, from the bigram likelihood of the document's suspicious words under
+   the key times the source's share of the key.  M step: the shares of the keys of each source.  A document is
+   garbled if the best key makes its words likelier than they are by GAIN nats (each word by WORD_GAIN).
+2. For single-byte swaps, and for documents of mostly strange letters that no key explains (unknown swaps), the
+   mapping itself is learned per source and swap (ciphers.learn): emissions of characters by letters, started from
+   the key's table, or from letter frequencies where there is none, are fitted to all pairs of characters of the
+   source's suspicious words.  The learned tables are what translate() applies.  Of unknown swaps only documents
+   whose words become likelier by as much count as garbled.
+
+UTF-8 keys have nothing to learn: the sequences are decoded.
 
 Also garbled, but past restoring: documents with replacement characters, with control characters of the C1 block
 that no key explains, or with runs of words that are question marks only.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +39,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daftar.llm import ciphers
 from daftar.llm.codes import flatten
 from daftar.llm.lookalikes import forms
 from daftar.session import cut, small
 
 GAIN, WORD_GAIN = 8.0, 2.0
 ROUNDS = 3
+#: Documents that may have an unknown swap: strange letters in their strange words, at least so many and such a share.
+UNKNOWN_LETTERS, UNKNOWN_SHARE = 40, 0.6
+#: Probability from which a learned letter is applied.
+SURE = 0.5
 #: A key of single bytes needs so many changed letters; log-likelihood of two scripts in one word; share of the
 #: strange characters that must belong to the key's code page.
 MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.8
@@ -263,13 +273,16 @@ def _suspects(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.Da
                             g = _sum(lm, back) - base
                             if g > 0 and (key.true == "utf_8" or _words_hold(key.restore(some))):
                                 best[k] = g
-                if lost or best:
+                letters = sum(map(len, (parts[j] for j in at))) if at and not best else 0
+                strange_letters = int(_strange(np.frombuffer(some.encode("utf-32-le", "surrogatepass"), np.uint32)).sum()) if letters else 0
+                unknown = strange_letters >= UNKNOWN_LETTERS and strange_letters >= UNKNOWN_SHARE * letters and not lost
+                if lost or best or unknown:
                     out.append((p.doc_id.iat[r], p.source.iat[r], text, lost, len(at), list(best), list(best.values())))
             yield pd.DataFrame(out, columns=["doc_id", "source", "text", "lost", "words", "keys", "gains"])
 
 
 def judged(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, source, text, lost, key (null: none), gain; and the bigram table."""
+    """doc_id, source, text, lost, key (null: none), gain, cipher (learned; null for UTF-8 keys); and the bigram table."""
     spark = documents.sparkSession
     docs = documents.where("text <> ''").select("doc_id", "source", "text")
     lm = model(bigrams(documents).toPandas())  # at most size() ** 2 rows
@@ -293,7 +306,98 @@ def judged(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
         share = cut(post.join(total, "source").select("source", "key", F.log((F.col("m") + 0.1) / (F.col("of") + 0.1 * n)).alias("prior")))
     j = e.join(best, "doc_id", "left")
     fits = (F.col("gain") >= GAIN) & (F.col("gain") >= WORD_GAIN * F.least("words", F.lit(20)))
-    return j.select("doc_id", "source", "text", "lost", F.when(fits, F.col("key")).alias("key"), "gain").where("lost or key is not null"), lm
+    j = j.select("doc_id", "source", "text", "lost", F.when(fits, F.col("key")).alias("key"), "gain", F.col("keys").isNotNull() & (F.size("keys") == 0) & ~F.col("lost"))
+    j = cut(j.toDF("doc_id", "source", "text", "lost", "key", "gain", "unknown").where("lost or key is not null or unknown"))
+    single = [k for k, key in enumerate(keys()) if key.true != "utf_8"]
+    swaps = j.where(F.col("key").isin(single) | F.col("unknown")).withColumn("swap", F.coalesce("key", F.lit(-1)))
+    if not swaps.head(1):
+        return j.withColumn("cipher", F.lit(None).cast("map<int,string>")), lm
+    pairs = swaps.select("source", "swap", "text").mapInPandas(_pairs, "source string, swap int, a int, b int, n long").groupBy("source", "swap", "a", "b").agg(F.sum("n").alias("n"))
+    # characters are at most 65,536, in practice some hundred, so a group is a small table of their pairs
+    learned = cut(pairs.groupBy("source", "swap").applyInPandas(lambda key, pdf: _learn(key, pdf, shared.value), "source string, swap int, cipher map<int,string>"))
+    known = swaps.join(F.broadcast(learned) if small(learned, 10_000) else learned, ["source", "swap"])
+    judged = known.mapInPandas(lambda b: _fits(b, shared.value), "doc_id long, cipher map<int,string>, better boolean")
+    j = j.join(judged, "doc_id", "left")
+    return j.where("not unknown or better").drop("unknown", "better"), lm
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of characters in the suspicious words, blanks around each word."""
+    for pdf in batches:
+        total: dict = {}
+        for source, swap, text in zip(pdf.source, pdf.swap, pdf.text):
+            parts, at = words(text)
+            s = " " + " ".join(parts[i] for i in at) + " "
+            for p, n in Counter(zip(s, s[1:])).items():
+                k = (source, swap, ord(p[0].lower()[0]) if p[0].isascii() else ord(p[0]), ord(p[1].lower()[0]) if p[1].isascii() else ord(p[1]))
+                total[k] = total.get(k, 0) + n
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["source", "swap", "a", "b", "n"])
+
+
+@functools.cache
+def _letters_of_symbols() -> list[str]:
+    out = [""] * size()
+    for x in _ORDINARY:
+        if x == x.lower() and not (x.isdigit() and x != "0"):
+            out[_symbols()[ord(x)]] = x
+    return out
+
+
+def _learn(group: tuple, pdf: pd.DataFrame, lm: np.ndarray) -> pd.DataFrame:
+    """The cipher of one source and swap: code point -> character."""
+    chars = sorted(set(pdf.a) | set(pdf.b))
+    at = {c: i for i, c in enumerate(chars)}
+    n = np.zeros((len(chars), len(chars)))
+    n[[at[c] for c in pdf.a], [at[c] for c in pdf.b]] = pdf.n
+    # the stationary distribution of the bigrams gives the letters' own shares
+    p = np.exp(lm.astype(np.float64))
+    p /= p.sum(1, keepdims=True)
+    single = np.full(len(p), 1 / len(p))
+    for _ in range(50):
+        single = single @ p
+    names = _letters_of_symbols()
+    allowed = np.zeros((len(p), len(chars)))
+    first = np.zeros_like(allowed)
+    arabic = np.array([bool(x) and not x.isascii() or x in " .,:;!?-" for x in names])
+    key = keys()[group[1]] if group[1] >= 0 else None
+    for i, c in enumerate(chars):
+        own = int(_symbols()[c])
+        if c < 128 and own:
+            allowed[own, i] = first[own, i] = 1.0
+            continue
+        allowed[arabic, i] = 1.0
+        to = key.table.get(c, chr(c)) if key else None
+        if to is not None and (k := int(_symbols()[ord(to)])):
+            allowed[k, i] = 1.0
+            first[k, i] = 1.0
+    if key:
+        first = first * (n.sum(0) + n.sum(1))[None, :] + 1e-3 * allowed
+    else:
+        first = np.where(first > 0, first, 0) * (n.sum(0) + n.sum(1))[None, :] + ciphers.by_rank(n, single, allowed)
+    post = ciphers.learn(n, single[:, None] * p, allowed, first)
+    out = {}
+    for i, c in enumerate(chars):
+        if c > 127:
+            k = int(np.argmax(post[:, i]))
+            to = key.table.get(c) if key else None
+            if to is not None and int(_symbols()[ord(to)]) in (0, k):
+                out[c] = to  # the table's own character, also where the bigrams do not know it
+            elif post[k, i] >= SURE and names[k]:
+                out[c] = names[k]
+    return pd.DataFrame({"source": [group[0]], "swap": [group[1]], "cipher": [out]})
+
+
+def _fits(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for doc, text, cipher in zip(pdf.doc_id, pdf.text, pdf.cipher):
+            cipher = dict(cipher)
+            parts, at = words(text)
+            some = " ".join(parts[i] for i in at)
+            back = some.translate(cipher)
+            gain = likelihood(lm, back) - likelihood(lm, some)
+            out.append((doc, cipher, bool(gain >= GAIN and gain >= WORD_GAIN * min(20, len(at)) and _words_hold(back))))
+        yield pd.DataFrame(out, columns=["doc_id", "cipher", "better"])
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -301,7 +405,7 @@ def found(documents: DataFrame) -> DataFrame:
 
 
 def restored(documents: DataFrame) -> DataFrame:
-    """doc_id, key (the wrong decoding, null where unknown), text restored where possible, whether all of it could be."""
+    """doc_id, key (the wrong decoding, "unknown" where learned, null where lost), text restored where possible, whether all of it could be."""
     j, lm = judged(documents)
     shared = documents.sparkSession.sparkContext.broadcast(lm)
 
@@ -311,15 +415,16 @@ def restored(documents: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 text, key = r.text, None if pd.isna(r.key) else keys()[int(r.key)]
-                if key is not None:
+                cipher = dict(r.cipher) if r.cipher is not None else {}
+                if key is not None or cipher:
                     parts, _ = words(text)
                     for i in [i for i in range(0, len(parts), 2) if not parts[i].isascii()]:
-                        new = key.restore(parts[i])
+                        new = key.restore(parts[i]) if key is not None and key.true == "utf_8" else parts[i].translate(cipher)
                         if "�" not in new and likelihood(lm, new) > likelihood(lm, parts[i]):
                             parts[i] = new
                     text = "".join(parts)
                 whole = not ("�" in text or _C1.search(text) or "?" in text and _LOST.search(text))
-                out.append((r.doc_id, key.name if key else None, text, whole))
+                out.append((r.doc_id, key.name if key else "unknown" if cipher else None, text, whole))
             yield pd.DataFrame(out, columns=["doc_id", "key", "text", "whole"])
 
     return j.mapInPandas(back, "doc_id long, key string, text string, whole boolean")

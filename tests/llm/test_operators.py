@@ -410,3 +410,22 @@ def test_garbled_round_trip(spark):
     right = sum(back[i].text == t for i, (t, true) in truth.items() if true == "utf_8")
     assert right >= 0.95 * sum(true == "utf_8" for _, true in truth.values())
     assert not back[200_000].whole and not back[200_001].whole
+
+
+def test_unknown_swap_is_learned(spark):
+    """Letters of one source replaced by others that no code page has: found, and most letters restored."""
+    docs = [(r.doc_id, "u", r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'ar' and text <> ''").collect()]
+    clean = [d for d in docs if sum("\u0621" <= x <= "\u064a" for x in d[2]) > 0.7 * len(d[2])]
+    letters = sorted({x for d in clean for x in d[2] if "\u0621" <= x <= "\u064a"})
+    rnd = random.Random(3)
+    to = [chr(0x1200 + 7 * i) for i in range(len(letters))]
+    rnd.shuffle(to)
+    table = {ord(a): b for a, b in zip(letters, to)}
+    bad = [(10**6 + d[0], "u", d[2].translate(table)) for d in clean[:60]]
+    df = spark.createDataFrame(clean[60:] + bad, "doc_id long, source string, text string")
+    assert {r.doc_id for r in mojibake.found(df).collect()} == {b[0] for b in bad}
+    back = {r.doc_id: r for r in mojibake.restored(df).collect()}
+    truth = {10**6 + d[0]: d[2] for d in clean}
+    pairs = [(x, y) for i, r in back.items() for x, y in zip(truth[i], r.text) if "\u0621" <= x <= "\u064a"]
+    assert {r.key for r in back.values()} == {"unknown"}
+    assert sum(x == y for x, y in pairs) > 0.9 * len(pairs)
