@@ -52,9 +52,7 @@ UNKNOWN_LETTERS, UNKNOWN_SHARE = 40, 0.6
 SURE = 0.5
 #: A key of single bytes needs so many changed letters; log-likelihood of two scripts in one word; share of the
 #: strange characters that must belong to the key's code page.
-MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.8
-#: Sequences that are no UTF-8, for each one that is, which a UTF-8 key may leave.
-BROKEN = 0.25
+MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.5
 #: Share of words with letters of two scripts that a restored text may have.
 MIXED_WORDS = 0.2
 BLOCK = 1000
@@ -101,6 +99,14 @@ def _symbols() -> np.ndarray:
     return out
 
 
+@functools.cache
+def _plausible() -> np.ndarray:
+    """Ordinary characters and other Latin letters."""
+    out = _symbols() > 0
+    out[0xC0:0x250] = True
+    return out
+
+
 def size() -> int:
     return int(_symbols().max()) + 1
 
@@ -154,15 +160,22 @@ class Key:
     def symbols(self, codes: np.ndarray) -> np.ndarray | None:
         """Symbols of the restored text; None where the key changes too little to tell."""
         if self.true != "utf_8":
-            return self.symbol[codes] if np.count_nonzero(self.changes[codes]) >= MIN_LETTERS else None
+            return self.symbol[codes] if np.count_nonzero(self.changes[codes]) >= (MIN_LETTERS if self.true in TRUE_ARABIC else 2 * MIN_LETTERS) else None
         raw = self.byte[codes].tobytes()
         for _ in range(self.times - 1):
             raw = self.byte[np.frombuffer(raw.decode("utf_8", "replace").encode("utf-16-le"), np.uint16)].tobytes()
         text = raw.decode("utf_8", "replace")
         out = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        bad = np.count_nonzero(out == 0xFFFD)
-        good = np.count_nonzero(out > 127) - bad
-        return _symbols()[out] if good and bad <= BROKEN * good else None
+        if not ((out > 127) & _plausible()[out]).any():
+            return None
+        if (out == 0xFFFD).any():  # only the words the key turns into plausible ones; the others stay
+            some = codes.astype(np.uint32).tobytes().decode("utf-32-le", "replace").split(" ")
+            back = [self.restore(w) if not w.isascii() else w for w in some]
+            back = [x if all(_plausible()[ord(c)] for c in x) else w for w, x in zip(some, back)]
+            if back == some:
+                return None
+            out = np.frombuffer(" ".join(back).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return _symbols()[out]
 
 
 @functools.cache
@@ -306,9 +319,10 @@ def judged(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
         share = cut(post.join(total, "source").select("source", "key", F.log((F.col("m") + 0.1) / (F.col("of") + 0.1 * n)).alias("prior")))
     j = e.join(best, "doc_id", "left")
     fits = (F.col("gain") >= GAIN) & (F.col("gain") >= WORD_GAIN * F.least("words", F.lit(20)))
+    single = [k for k, key in enumerate(keys()) if key.true != "utf_8"]
+    fits &= ~(F.col("lost") & F.col("key").isin(single))  # lost bytes leave nothing to restore one by one
     j = j.select("doc_id", "source", "text", "lost", F.when(fits, F.col("key")).alias("key"), "gain", F.col("keys").isNotNull() & (F.size("keys") == 0) & ~F.col("lost"))
     j = cut(j.toDF("doc_id", "source", "text", "lost", "key", "gain", "unknown").where("lost or key is not null or unknown"))
-    single = [k for k, key in enumerate(keys()) if key.true != "utf_8"]
     swaps = j.where(F.col("key").isin(single) | F.col("unknown")).withColumn("swap", F.coalesce("key", F.lit(-1)))
     if not swaps.head(1):
         return j.withColumn("cipher", F.lit(None).cast("map<int,string>")), lm
