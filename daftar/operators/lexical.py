@@ -29,12 +29,12 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str, did: str, qtext: str, dt
     """
     t = terms(docs, did, dtext)
     sizes = t.groupBy(did).agg(F.sum("tf").alias("size"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"))
+    n, mean = sizes.agg(F.count("*"), F.avg("size")).first()
     qt = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(F.split(F.lower(qtext), r"[ \n\t]+"))).alias("term")).where("term <> ''")
     some = t.join(qt.select("term").distinct(), "term", "left_semi")
     d = some.groupBy("term").agg(F.count("*").alias("df"))
-    w = some.join(d, "term").join(sizes, did).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = w.withColumn("s", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size"))))
+    w = some.join(d, "term").join(sizes, did)
+    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = w.withColumn("s", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(mean or 1.0)))))
     g = qt.join(w, "term").groupBy("query_id", F.col(did).alias("doc_id")).agg(F.round(F.sum("s"), 6).alias("score"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
