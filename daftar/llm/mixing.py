@@ -94,7 +94,7 @@ def shares(documents: DataFrame, targets: DataFrame, total: float | None = None,
     """Per source with a target: target and reached share of all tokens, documents used, most copies of one."""
     m = mixture(documents, targets, total, tokenizer).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     m = cut(m)
-    whole = m.agg(F.sum("tokens").alias("whole"))
-    j = targets.select("source", "target_share", "max_repeats").join(m, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    whole = m.agg(F.sum("tokens")).first()[0] or 0
+    j = targets.select("source", "target_share", "max_repeats").join(m, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return j.select("source", "target_share", "max_repeats", zero(F.col("tokens")).alias("tokens"), F.when(F.col("whole") > 0, zero(F.col("tokens")) / F.col("whole")).otherwise(0.0).alias("reached_share"), zero(F.col("documents")).alias("documents"), zero(F.col("most_copies")).alias("most_copies"))
+    return j.select("source", "target_share", "max_repeats", zero(F.col("tokens")).alias("tokens"), (zero(F.col("tokens")) / F.lit(float(max(1, whole)))).alias("reached_share"), zero(F.col("documents")).alias("documents"), zero(F.col("most_copies")).alias("most_copies"))
