@@ -88,6 +88,13 @@ def _strange(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _strange_sign() -> re.Pattern:
+    """_strange as a pattern, for single words."""
+    ok = "".join(map(re.escape, map(chr, np.flatnonzero(_ordinary()).tolist())))
+    return re.compile(f"[^{ok}]|[\u00e2\u0622\u0623](?=[^\\x00-\\x7f\u0620-\u065f])")
+
+
 @functools.cache
 def _symbols() -> np.ndarray:
     """Code point -> symbol of the bigram table: ordinary ones (capitals as small, digits as 0), and 0 for all others."""
@@ -128,6 +135,7 @@ class Key:
     def __init__(self, read: str, true: str, times: int = 1):
         self.name, self.true, self.times = f"{true} as {read}" + f" x{times}" * (times > 1), true, times
         chars = _bytes_of(read)
+        self.memo: dict[str, str] = {}
         self.inside = np.zeros(0x10000, bool)  # characters that can come from a byte above 127
         self.inside[[ord(c) for c in chars[128:]]] = True
         if true == "utf_8":
@@ -157,6 +165,12 @@ class Key:
         return text
 
 
+    def _remember(self, word: str) -> str:
+        if len(self.memo) > 20_000:
+            self.memo.clear()
+        self.memo[word] = self.restore(word)
+        return self.memo[word]
+
     def symbols(self, codes: np.ndarray) -> np.ndarray | None:
         """Symbols of the restored text; None where the key changes too little to tell."""
         if self.true != "utf_8":
@@ -170,7 +184,7 @@ class Key:
             return None
         if (out == 0xFFFD).any():  # only the words the key turns into plausible ones; the others stay
             some = codes.astype(np.uint32).tobytes().decode("utf-32-le", "replace").split(" ")
-            back = [self.restore(w) if not w.isascii() else w for w in some]
+            back = [w if w.isascii() else self.memo.get(w) or self._remember(w) for w in some]
             back = [x if all(_plausible()[ord(c)] for c in x) else w for w, x in zip(some, back)]
             if back == some:
                 return None
@@ -251,7 +265,8 @@ _C1 = re.compile("[\x80-\x9f]")
 def words(text: str) -> tuple[list[str], list[int]]:
     """All words, by blanks and line breaks only, with the separators between them; the suspicious ones' places."""
     parts = re.split(r"([ \n]+)", text)
-    flags = [i for i in range(0, len(parts), 2) if not parts[i].isascii() and _strange(np.frombuffer(parts[i].encode("utf-32-le", "surrogatepass"), np.uint32)).any()]
+    strange = _strange_sign().search
+    flags = [i for i in range(0, len(parts), 2) if not parts[i].isascii() and strange(parts[i])]
     return parts, flags
 
 
