@@ -6,12 +6,14 @@ distance walk together again after an edit, so their outputs have a small Hammin
 is sampled at SAMPLES steps and hashed; equal hashes of a document window and an item window make a candidate.
 Every candidate is verified exactly: edit distance, in words, of the item's words before and behind the common
 position against the document's, by a banded dynamic program run over all candidates of a block at once.  A document
-holds an item if some WINDOW running words of the item are there with at most MAX_EDITS words added, dropped or
-replaced.
+holds an item if at least WINDOW running words of the item are there with at most one word in ten added, dropped or
+replaced.  Every such passage holds one of PASSAGES (words, edits): a passage of 50 words or more can be divided so
+that one part is within its own bound, and shorter ones need no more words than the least that allow their edits.
 
 Windows begin at every word of the items and at every second word of the documents.  A walk covers about half as
-many words as it has steps, so it needs a short run without change somewhere in the passage; with two changes in
-25 words the longest run has at least eight.  Recall is measured in the tests against brute force.
+many words as it has steps, so it needs a short run without change somewhere in the passage.  Every one of PASSAGES
+has at least SEED + STRIDE - 1 words without change in a row (27 words in 4 runs), so hashes of SEED words in a row,
+taken besides the walks, make each a candidate.
 
 Spacing, punctuation, diacritics, letter case, digit forms and look-alikes are set aside first (codes.Words).
 
@@ -33,7 +35,11 @@ from pyspark.sql import functions as F
 
 from daftar.llm.codes import Words, mix
 
-WINDOW, MAX_EDITS = 25, 2
+WINDOW = 25
+#: Words and edits: the shortest passages that may have 2, 3 and 4 edits.
+PASSAGES = ((WINDOW, 2), (30, 3), (40, 4))
+MAX_EDITS = 4
+SEED = 6
 REPEATS, STEPS, SAMPLES, STRIDE = 4, 14, 8, 2
 ITEM_WORDS = 200_000
 BLOCK = 500
@@ -59,7 +65,7 @@ def _samples(r: int) -> list[int]:
 
 
 def walks(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
-    """For each repeat the sampled hash of the walk that begins at each of ``begin`` and may not pass ``end``."""
+    """For each repeat the sampled hash of the walk that begins at each of ``begin`` and may not pass ``end``; last the hash of SEED words in a row."""
     for r in range(REPEATS):
         m = mix(h ^ np.uint64(0xA24BAED4963EE407 + 0x1000003 * r))
         pos, key = begin.copy(), np.zeros(len(begin), np.uint64)
@@ -71,6 +77,10 @@ def walks(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[np.ndar
             pos += ((v >> np.uint64(j)) & np.uint64(1)).astype(pos.dtype)
             np.minimum(pos, end, out=pos)
         yield key ^ (key >> np.uint64(29))
+    key = np.zeros(len(begin), np.uint64)
+    for j in range(SEED):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(begin + j, end)]
+    yield mix(key)
 
 
 class Index:
@@ -109,47 +119,36 @@ class Index:
         before = both - (STRIDE << 32 | STRIDE)
         known = np.isin(before, both, assume_unique=True) & (q >= STRIDE)
         for j in range(1, STRIDE + 1):
-            known &= h[p - j] == self.h[q - j]
+            known &= (h[p - j] == self.h[q - j]) & (h[p - j] != 0)  # not across the ends of two texts
         return p[~known], q[~known]
 
 
-def _edits(dh: np.ndarray, p: np.ndarray, dend: np.ndarray, ih: np.ndarray, q: np.ndarray, iend: np.ndarray, step: int, rows: int = WINDOW) -> np.ndarray:
+def _edits(dh: np.ndarray, p: np.ndarray, dend: np.ndarray, ih: np.ndarray, q: np.ndarray, iend: np.ndarray, step: int, rows: int) -> np.ndarray:
     """E[l] for l up to rows: edits between l item words from q (going by step) and the best as-long run from p.
 
-    dend, iend: first position that may not be read.  Edits beyond MAX_EDITS are not told apart.
+    dend, iend: first position that may not be read.  Edits beyond MAX_EDITS are not told apart.  A word behind the
+    document's end equals no word, so it costs what leaving out the item's word costs.
     """
-    big, band = MAX_EDITS + 1, MAX_EDITS
-    width = 2 * band + 1
-    n = len(p)
+    big, band = np.int8(MAX_EDITS + 1), MAX_EDITS
+    width, n, one = 2 * band + 1, len(p), np.int8(1)
     cost = np.full((width, n), big, np.int8)
-    for d in range(band, width):
-        cost[d] = d - band  # document words before any item word
+    cost[band:] = np.arange(band + 1, dtype=np.int8)[:, None]  # document words before any item word
     out = np.full((rows + 1, n), big, np.int8)
     out[0] = 0
-    for row in range(1, rows + 1):
-        i = q + step * (row - 1)
-        there = i < iend if step > 0 else i > iend
-        word = ih[np.where(there, i, 0)]
-        new = np.full((width, n), big, np.int8)
-        for d in range(width):
-            col = row + d - band  # document words read so far
-            best = np.full(n, big, np.int8)
-            if col >= 1:
-                j = p + step * (col - 1)
-                ok = j < dend if step > 0 else j > dend
-                same = ok & (dh[np.where(ok, j, 0)] == word)
-                best = np.minimum(best, np.where(ok, cost[d] + (~same), big))
-            elif col == 0:
-                best = np.minimum(best, row)
-            if d + 1 < width and col >= 0:
-                best = np.minimum(best, cost[d + 1] + 1)  # the item's word is missing
-            if d and col >= 1:
-                j = p + step * (col - 1)
-                ok = j < dend if step > 0 else j > dend
-                best = np.minimum(best, np.where(ok, new[d - 1] + 1, big))  # a word was added
-            new[d] = np.minimum(np.where(there, best, big), big)
-        cost = new
-        out[row] = cost.min(0)
+    j = p + step * np.arange(-band, rows + band)[:, None]
+    i = q + step * np.arange(rows)[:, None]
+    ok, there = (j < dend, i < iend) if step > 0 else (j > dend, i > iend)
+    words = np.where(ok, dh[np.where(ok, j, 0).clip(0, len(dh) - 1)], np.uint64(0))
+    asked = ih[np.where(there, i, 0)]
+    none = np.where(there, np.int8(0), big)
+    for row in range(rows):
+        new = cost + (words[row : row + width] != asked[row])
+        np.minimum(new[:-1], cost[1:] + one, out=new[:-1])  # the item's word is missing
+        for d in range(1, width):
+            np.minimum(new[d], new[d - 1] + one, out=new[d])  # a word was added
+        np.minimum(new, big, out=new)
+        cost = np.maximum(new, none[row])
+        out[row + 1] = cost.min(0)
     return out
 
 
@@ -163,27 +162,29 @@ def leaks_in(index: Index, ids: np.ndarray, texts: list) -> pd.DataFrame:
     ends, iends = end[dt], index.end[it]
     starts = ends - np.diff(w.first)[dt]
     istarts = np.r_[0, index.end[:-1] + 1][it]
-    # the longer side of any window through the position has at least half of it: most candidates fail there
-    half = (WINDOW + 1) // 2
-    live = _edits(h, p, ends, index.h, q, iends, 1, half)[half] <= MAX_EDITS
-    rest = np.flatnonzero(~live)
-    live[rest] = _edits(h, p[rest] - 1, starts[rest] - 1, index.h, q[rest] - 1, istarts[rest] - 1, -1, half)[half] <= MAX_EDITS
+    # the longer side of any passage through the position has at least half of it: most candidates fail there, many within WINDOW / 2 words
+    live = np.zeros(len(p), bool)
+    for step, at, iat, stop, istop in ((1, p, q, ends, iends), (-1, p - 1, q - 1, starts - 1, istarts - 1)):
+        rest = np.flatnonzero(~live)
+        for rows in ((WINDOW + 1) // 2, (PASSAGES[-1][0] + 1) // 2):
+            e = _edits(h, at[rest], stop[rest], index.h, iat[rest], istop[rest], step, rows)
+            rest = rest[np.any([e[min(rows, (n + 1) // 2)] <= most for n, most in PASSAGES], axis=0)]
+        live[rest] = True
     p, q, dt, it, ends, iends, starts, istarts = (x[live] for x in (p, q, dt, it, ends, iends, starts, istarts))
-    ahead = _edits(h, p, ends, index.h, q, iends, 1)
-    behind = _edits(h, p - 1, starts - 1, index.h, q - 1, istarts - 1, -1)
-    docs, items, where, edits = [], [], [], []
-    for o in range(WINDOW + 1):
-        total = behind[o] + ahead[WINDOW - o]
-        ok = np.flatnonzero(total <= MAX_EDITS)
-        docs.append(dt[ok])
-        items.append(it[ok])
-        where.append(q[ok] - o)
-        edits.append(total[ok])
-    f = pd.DataFrame({"d": np.concatenate(docs), "i": np.concatenate(items), "at": np.concatenate(where), "e": np.concatenate(edits)})
+    ahead = _edits(h, p, ends, index.h, q, iends, 1, PASSAGES[-1][0])
+    behind = _edits(h, p - 1, starts - 1, index.h, q - 1, istarts - 1, -1, PASSAGES[-1][0])
+    found = []
+    for n, most in PASSAGES:
+        for o in range(n + 1):
+            total = behind[o] + ahead[n - o]
+            ok = np.flatnonzero(total <= most)
+            found.append((dt[ok], it[ok], q[ok] - o, q[ok] - o + n, total[ok]))
+    f = pd.DataFrame(dict(zip(("d", "i", "at", "to", "e"), map(np.concatenate, zip(*found))))).sort_values(["d", "i", "at"])
     if not len(f):
         return f.assign(doc_id=f.d.astype("int64"), item_id=f.d.astype("int64"), item_words_leaked=f.d.astype("int32"), edits=f.d.astype("int32"))[["doc_id", "item_id", "item_words_leaked", "edits"]]
-    f = f.groupby(["d", "i", "at"], as_index=False).e.min().sort_values(["d", "i", "at"])
-    gap = f.groupby(["d", "i"])["at"].diff().fillna(WINDOW).clip(upper=WINDOW)  # words that a window adds to the ones before
+    by = [f.d, f.i]
+    reached = f.to.groupby(by).cummax().groupby(by).shift().fillna(0)
+    gap = (f.to - np.maximum(f["at"], reached)).clip(lower=0)  # words that a passage adds to the ones before
     g = f.assign(n=gap).groupby(["d", "i"], as_index=False).agg(n=("n", "sum"), e=("e", "min"))
     return pd.DataFrame({"doc_id": ids[g.d], "item_id": index.ids[g.i], "item_words_leaked": g.n.astype("int32"), "edits": g.e.astype("int32")})
 

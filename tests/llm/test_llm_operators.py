@@ -343,6 +343,40 @@ def test_leaks_equal_brute_force(spark):
     assert sum(r.values()) == len(got) and r[77] == 0
 
 
+def test_leaks_of_any_length_at_the_bound(spark):
+    """One word in ten changed, evenly spaced or anywhere: passages of 25 to 60 words, and one that begins where another pair of texts ends alike."""
+    rnd = random.Random(4)
+    items, docs = [], []
+    for k in range(240):
+        n = [25, 30, 33, 39, 40, 44, 49, 60][k % 8]
+        part = [f"k{k}w{j}" for j in range(n)]
+        items.append((k, "test", " ".join(part)))
+        m = n // 10
+        for i in sorted([(j + 1) * n // (m + 1) for j in range(m)] if k % 16 < 8 else rnd.sample(range(n), m), reverse=True):
+            part[i : i + 1] = [[], ["zz"], ["zz", part[i]]][rnd.randrange(3)]
+        docs.append((k, " ".join(["vor"] * rnd.randrange(3) + part + ["nach"])))
+        few = [f"k{k}w{j}" for j in range(n)]
+        for i in range(4, n, 8):
+            few[i] = "zz"  # one in eight
+        docs.append((1000 + k, " ".join(few)))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    ev = spark.createDataFrame(items, "item_id long, split string, text string")
+    got = {(r.doc_id, r.item_id): r.item_words_leaked for r in eval_leaks.leaks(documents, ev).collect()}
+    assert {k for k in got if k[0] < 1000} == {(k, k) for k in range(240)}
+    assert all(25 <= n <= 60 for n in got.values())
+    words = {d: t.split() for d, t in docs}
+    for d, i in got:
+        if d >= 1000:
+            assert any(holds(words[d], items[i][2].split(), n, m) for n, m in ((25, 2), (30, 3), (40, 4)))
+
+
+def test_leak_where_the_texts_before_end_alike():
+    item = [f"w{i}" for i in range(25)]
+    index = eval_leaks.Index([1, 2], [" ".join([f"x{i}" for i in range(29)] + ["end"]), " ".join(item)])
+    got = eval_leaks.leaks_in(index, np.array([5, 6]), ["other end end", " ".join(item)])
+    assert list(zip(got.doc_id, got.item_id)) == [(6, 2)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(eval_leaks, "ITEM_WORDS", 30)
     items = [(i, "test", " ".join(f"i{i}w{j}" for j in range(26))) for i in range(4)]
