@@ -76,6 +76,22 @@ def test_overlaps_equal_brute_force(spark, hot):
     assert len(want) == 30 and got == want
 
 
+def test_overlaps_with_changes_evenly_spread(spark):
+    """One word in eight replaced at even spacing in long contexts, one dropped from short ones: no pair is lost."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        q = " ".join(f"q{i}w{j}" for j in range(rnd.choice([8, 12, 16, 24])))
+        n = rnd.choice([8, 16, 48, 96, 190])
+        c = [f"c{rnd.randrange(10**9)}" for _ in range(n)]
+        other = list(c)
+        for j in [(k + 1) * n // (n // 8 + 1) for k in range(n // 8)][::-1]:
+            other[j : j + 1] = [] if n < 48 else [f"d{j}"]
+        rows += [(2 * i, "train", "s", q, " ".join(c)), (2 * i + 1, "test", "s", q, " ".join(other))]
+    qa = spark.createDataFrame(rows, "row_id long, split string, source string, question string, context string")
+    assert {(r.row_id_a, r.row_id_b) for r in split_overlap.found(qa).collect()} == {(2 * i, 2 * i + 1) for i in range(3000)}
+
+
 def test_overlap_ignores_forms(spark):
     a = "How can the debtor divide the boundary plan if the employer has refused"
     rows = [(1, "train", "s", a, "قانون العمل المُوَحَّد في المادة ١٢ من النظام"), (2, "test", "t", "Ηοw  can the DEBTOR divide, the boundary plan​ if the employer has refused?", "قانون العمل الموحد في المادة 12 من النظام"), (3, "test", "t", a, "لائحة أخرى تماماً لا علاقة لها بما سبق من القول")]
