@@ -92,6 +92,40 @@ def test_overlaps_with_changes_evenly_spread(spark):
     assert {(r.row_id_a, r.row_id_b) for r in split_overlap.found(qa).collect()} == {(2 * i, 2 * i + 1) for i in range(3000)}
 
 
+@pytest.mark.parametrize("hot", [10**9, 3, 0])
+def test_overlaps_of_short_texts(spark, hot):
+    """Runs of four words in questions, of four to seven in contexts; every question has four words that all others have, so they are hot."""
+    rnd = random.Random(2)
+
+    def change(words, at):
+        out = list(words)
+        for j in at:
+            out[j] = f"n{rnd.randrange(10**9)}"
+        return out
+
+    rows = []
+    for i in range(300):
+        n = rnd.choice([8, 9, 10])
+        q = ["what", "does", "the", "law", *(f"q{i}w{j}" for j in range(4, n))]
+        m = rnd.choice([8, 9, 12, 16, 24, 48, 56])
+        c = [f"c{i}w{j}" for j in range(m)]
+        e = m // 8
+        other = change(c, [(k + 1) * m // (e + 1) for k in range(e)])
+        rows += [(2 * i, "train", "s", " ".join(q), " ".join(c)), (2 * i + 1, "test", "s", " ".join(change(q, [4])), " ".join(other))]
+    qa = spark.createDataFrame(rows, "row_id long, split string, source string, question string, context string")
+    assert {(r.train_id, r.eval_id) for r in split_overlap.overlaps(qa, hot).collect()} == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
+def test_kept_hashes_of_short_questions_meet():
+    for n in (8, 9):
+        for k in range(300):
+            a = [f"k{k}w{j}" for j in range(n)]
+            for b in (a[:4] + ["x"] + a[5:], a[:4] + ["x"] + a[4:], a[:4] + a[5:]):
+                w = Words([" ".join(a), " ".join(b)])
+                h, t, _, _ = split_overlap.kept(w, split_overlap.SEED, split_overlap.WINDOW, split_overlap.FEW)
+                assert set(h[t == 0]) & set(h[t == 1])
+
+
 def test_overlap_ignores_forms(spark):
     a = "How can the debtor divide the boundary plan if the employer has refused"
     rows = [(1, "train", "s", a, "قانون العمل المُوَحَّد في المادة ١٢ من النظام"), (2, "test", "t", "Ηοw  can the DEBTOR divide, the boundary plan​ if the employer has refused?", "قانون العمل الموحد في المادة 12 من النظام"), (3, "test", "t", a, "لائحة أخرى تماماً لا علاقة لها بما سبق من القول")]
