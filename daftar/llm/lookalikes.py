@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from daftar.llm.codes import flatten
 from daftar.llm.lookalikes_table import PROTOTYPES
+from daftar.session import cut, small
 
 # Kinds of compatibility decomposition whose two sides look the same.
 ALIKE = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<compat>", "<font>"}
@@ -140,13 +141,30 @@ def found(qa: DataFrame) -> DataFrame:
     return qa.select("row_id", "question", "context").mapInPandas(scan, "row_id long, field_name string")
 
 
-def groups(qa: DataFrame, field: str) -> DataFrame:
-    """Skeletons with several originals: skeleton key, rows, different originals, and one form as an example.
+def _skeletons(qa: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """row_id, field_name, skeleton and original (128-bit hashes), opening of every field that is not null."""
+    t = normalised(qa.select("row_id", *fields, *[F.col(f).alias(f"form_{f}") for f in fields]), [f"form_{f}" for f in fields])
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("original"), F.col(f"form_{f}").alias("form")) for f in fields])
+    t = t.select("row_id", F.explode(each).alias("t")).select("row_id", "t.*").where("original is not null")
+    return t.select("row_id", "field_name", F.md5("form").alias("skeleton"), F.md5("original").alias("original"), F.substring("form", 1, 80).alias("opening"))
+
+
+def _grouped(t: DataFrame) -> DataFrame:
+    n = t.groupBy("field_name", "skeleton", "original").agg(F.count("*").alias("rows"), F.min("opening").alias("opening"))
+    return n.groupBy("field_name", "skeleton").agg(F.sum("rows").alias("rows"), F.count("*").alias("originals"), F.min("opening").alias("opening")).where("originals > 1")
+
+
+def groups(qa: DataFrame, *fields: str) -> DataFrame:
+    """Skeletons of a field with several originals: field_name, skeleton key, rows, different originals, and one form as an example.
 
     Texts are compared by 128-bit hash; counts are aggregated before each shuffle, so a text in a third of all rows
     is one row a partition.
     """
-    t = qa.where(F.col(field).isNotNull()).select(F.col(field).alias("original"))
-    t = normalised(t.withColumn("form", F.col("original")), ["form"]).select(F.md5("form").alias("skeleton"), F.md5("original").alias("original"), F.substring("form", 1, 80).alias("opening"))
-    n = t.groupBy("skeleton", "original").agg(F.count("*").alias("rows"), F.min("opening").alias("opening"))
-    return n.groupBy("skeleton").agg(F.sum("rows").alias("rows"), F.count("*").alias("originals"), F.min("opening").alias("opening")).where("originals > 1")
+    return _grouped(_skeletons(qa, fields))
+
+
+def members(qa: DataFrame, *fields: str) -> DataFrame:
+    """row_id, field_name, skeleton of every field in one of the groups."""
+    t = cut(_skeletons(qa, fields))
+    g = cut(_grouped(t).select("field_name", "skeleton"))
+    return t.join(F.broadcast(g) if small(g) else g, ["field_name", "skeleton"], "left_semi").select("row_id", "field_name", "skeleton")

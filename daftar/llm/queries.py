@@ -88,7 +88,12 @@ def p4_normalised(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_groups(s: SparkSession, d: str) -> DataFrame:
-    return lookalikes.groups(_t(s, d, "qa_pairs"), "question")
+    return lookalikes.groups(_t(s, d, "qa_pairs"), "question", "context")
+
+
+@query
+def p4_members(s: SparkSession, d: str) -> DataFrame:
+    return lookalikes.members(_t(s, d, "qa_pairs"), "question", "context")
 
 
 @query

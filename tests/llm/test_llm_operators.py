@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from daftar.llm import answer_defects, eval_leaks, lookalikes, mixing, mojibake, pieces, scan_noise, site_lines, split_overlap, vector_neighbors
+from daftar.llm import answer_defects, eval_leaks, lookalikes, mixing, mojibake, pieces, queries, scan_noise, site_lines, split_overlap, vector_neighbors
 from daftar.llm.codes import Words, grams, winnow
 
 D = "/root/testdata/sf0.001"
@@ -229,6 +229,17 @@ def test_lookalike_groups(spark):
     assert n[1] == n[2] and n[3] is None
 
 
+def test_lookalike_groups_of_both_fields_with_their_rows(spark, tmp_path):
+    rows = [(1, "How can", "العقد"), (2, "Ηow can", "other"), (3, None, "ﺍﻟﻌﻘﺪ"), (4, "other", ""), (5, "How can", "العقد")]
+    spark.createDataFrame(rows, "row_id long, question string, context string").write.parquet(f"{tmp_path}/qa_pairs.parquet")
+    g = {r.field_name: r for r in queries.QUERIES["p4_groups"](spark, str(tmp_path)).collect()}
+    assert {f: (r.rows, r.originals) for f, r in g.items()} == {"question": (3, 2), "context": (3, 2)}
+    m = queries.QUERIES["p4_members"](spark, str(tmp_path)).collect()
+    want = {(i, "question") for i in (1, 2, 5)} | {(i, "context") for i in (1, 3, 5)}
+    assert {(r.row_id, r.field_name) for r in m} == want and len(m) == 6
+    assert all(r.skeleton == g[r.field_name].skeleton for r in m)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
