@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Triplets that are trained in memory (about 80 MB); full-batch steps beyond, which reach the loss of the mini-batches.
+LOCAL, FULL_STEPS = 50_000, 1000
+
 
 def schedule(step: int, warmup: int, total: int) -> float:
     return step / max(1, warmup) if step < warmup else max(0.0, (total - step) / max(1, total - warmup))
@@ -98,6 +101,13 @@ def train_distributed(triplets: DataFrame, dim: int, steps: int = 100, lr: float
     return w, b, losses
 
 
+def train(triplets: DataFrame, dim: int, key: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The reference's training (30 epochs in batches of 32, warmup 100), in the order of ``key``; of more than LOCAL triplets FULL_STEPS full-batch steps."""
+    if triplets.limit(LOCAL + 1).count() > LOCAL:
+        return train_distributed(triplets, dim, steps=FULL_STEPS, warmup=100)
+    return train_local(triplets.orderBy(key).select("query", "positive", "negative").toPandas())
+
+
 def apply(df: DataFrame, vector: str, w: np.ndarray, b: np.ndarray, name: str = "adapted") -> DataFrame:
     """df with W x + b of a vector column; on queries only, documents keep their vectors."""
     shared = df.sparkSession.sparkContext.broadcast((w, b))

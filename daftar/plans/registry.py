@@ -344,7 +344,7 @@ def lr_schedule(s: SparkSession, d: str) -> DataFrame:
 def adapter_training(s: SparkSession, d: str) -> DataFrame:
     """Mean loss of the first and the last epoch, and metrics without and with the adapter on the queries."""
     t = _triplets(s, d)
-    w, b, losses = adapter.train_distributed(t, 64, steps=4, warmup=1)
+    w, b, losses = adapter.train(t, 64, "vec_id")
     e = table(s, d, "embeddings")
     q = adapter.apply(_asked(e), "embedding", w, b)
     truth = _asked(t).select(F.col("vec_id").alias("query_id"), F.col("p").alias("doc"))
