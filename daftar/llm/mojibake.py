@@ -50,8 +50,8 @@ ROUNDS = 3
 UNKNOWN_LETTERS, UNKNOWN_SHARE = 40, 0.6
 #: Probability from which a learned letter is applied.
 SURE = 0.5
-#: A key of single bytes needs so many changed letters; log-likelihood of two scripts in one word; share of the
-#: strange characters that must belong to the key's code page.
+#: Where a key of single bytes changes fewer letters (of Latin text twice as many), one must be out of place;
+#: log-likelihood of two scripts in one word; share of the strange characters that must belong to the key's code page.
 MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.5
 #: Share of words with letters of two scripts that a restored text may have.
 MIXED_WORDS = 0.2
@@ -71,7 +71,7 @@ def _ordinary() -> np.ndarray:
     """Ordinary characters, and blanks, invisible ones and look-alikes of problem 4, which are no sign of a wrong decoding."""
     out = np.zeros(0x110000, bool)
     out[[ord(x) for x in _ORDINARY]] = True
-    for c in [0xA0, *range(0x300, 0x6FF), 0x180E, *range(0x2000, 0x2100), 0x3000, *range(0xFB50, 0xFFF0)]:
+    for c in [0xA0, 0xAD, *range(0x300, 0x6FF), 0x180E, *range(0x2000, 0x2100), 0x3000, *range(0xFB50, 0xFFF0)]:
         if c in forms() and c not in range(0x2018, 0x2027):
             out[c] = True
     out[0x653:0x656] = True
@@ -79,20 +79,38 @@ def _ordinary() -> np.ndarray:
 
 
 def _strange(codes: np.ndarray) -> np.ndarray:
-    """Of each code point whether it is not ordinary, or ordinary only by itself: a frequent first byte of UTF-8 before a sign."""
+    """Of each code point whether it is not ordinary, or ordinary only by itself: a frequent first byte of UTF-8 before a sign, an Arabic letter behind a Latin one."""
     out = ~_ordinary()[codes]
     for lead in (0xE2, 0x622, 0x623):
         at = np.flatnonzero(codes[:-1] == lead)
         after = codes[at + 1]
         out[at[(after > 127) & ~((after >= 0x620) & (after < 0x660))]] = True
+    latin = ((codes[:-1] | 32) >= 97) & ((codes[:-1] | 32) <= 122)
+    out[1:] |= latin & (codes[1:] >= 0x621) & (codes[1:] <= 0x64A)
     return out
 
 
+@functools.cache
+def _cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, small ones, capitals."""
+    every = [chr(c) for c in range(0x10000)]
+    return tuple(np.array([f(x) for x in every]) for f in (str.isalpha, str.islower, str.isupper))
+
+
+def _misplaced(codes: np.ndarray) -> np.ndarray:
+    """Strange characters that no correct word has there: behind a letter a capital after a small one, a letter of another script, or a sign before a letter."""
+    letter, lower, upper = (x[codes] for x in _cases())
+    before, behind = np.r_[False, letter[:-1]], np.r_[letter[1:], False]
+    capital = upper & np.r_[False, lower[:-1]]
+    other = letter & (codes >= 0x250) & np.r_[False, codes[:-1] < 0x250]
+    return _strange(codes) & before & (capital | other | ~letter & behind)
+
+
 @functools.cache
 def _strange_sign() -> re.Pattern:
     """_strange as a pattern, for single words."""
     ok = "".join(map(re.escape, map(chr, np.flatnonzero(_ordinary()).tolist())))
-    return re.compile(f"[^{ok}]|[\u00e2\u0622\u0623](?=[^\\x00-\\x7f\u0620-\u065f])")
+    return re.compile(f"[^{ok}]|[\u00e2\u0622\u0623](?=[^\\x00-\\x7f\u0620-\u065f])|(?<=[A-Za-z])[\u0621-\u064a]")
 
 
 @functools.cache
@@ -172,9 +190,11 @@ class Key:
         return self.memo[word]
 
     def symbols(self, codes: np.ndarray) -> np.ndarray | None:
-        """Symbols of the restored text; None where the key changes too little to tell."""
+        """Symbols of the restored text; None where the key changes nothing, or few letters that all may be correct rare ones."""
         if self.true != "utf_8":
-            return self.symbol[codes] if np.count_nonzero(self.changes[codes]) >= (MIN_LETTERS if self.true in TRUE_ARABIC else 2 * MIN_LETTERS) else None
+            n = np.count_nonzero(self.changes[codes])
+            enough = n >= (MIN_LETTERS if self.true in TRUE_ARABIC else 2 * MIN_LETTERS)
+            return self.symbol[codes] if enough or n and (self.changes[codes] & _misplaced(codes)).any() else None
         raw = self.byte[codes].tobytes()
         for _ in range(self.times - 1):
             raw = self.byte[np.frombuffer(raw.decode("utf_8", "replace").encode("utf-16-le"), np.uint16)].tobytes()
@@ -196,7 +216,7 @@ class Key:
 def keys() -> list[Key]:
     out = [Key(r, "utf_8") for r in READ_AS] + [Key(r, "utf_8", 2) for r in ("cp1252", "latin_1", "cp1256", "mac_roman", "cp437")]
     out += [Key(r, t) for t in TRUE_ARABIC for r in READ_AS if r != t]
-    return out + [Key(r, t) for t in TRUE_LATIN for r in READ_AS if r != t and r not in ("cp1256", "iso8859_6", "cp1251", "koi8_r", "cp866") and {r, t} != {"latin_1", "cp1252"} or (r, t) == ("latin_1", "cp1252")]
+    return out + [Key(r, t) for t in TRUE_LATIN for r in READ_AS if r != t and {r, t} != {"latin_1", "cp1252"} or (r, t) == ("latin_1", "cp1252")]
 
 
 def _bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -507,6 +507,18 @@ def test_garbled_round_trip(spark):
     assert not back[200_000].whole and not back[200_001].whole
 
 
+def test_few_wrong_accents(spark):
+    """One French sentence with one to seven wrong accents, also read as Cyrillic or Arabic; soft hyphens and Arabic prefixes are no cases."""
+    docs = [(r.doc_id, r.source, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").collect()]
+    clean = [d for d in docs if "?" not in d[2] and not mojibake._strange(np.frombuffer(d[2].encode("utf-32-le"), np.uint32)).any()]
+    swaps = [("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("iso8859_6", "cp1252"), ("cp1251", "mac_roman")]
+    texts = ["Le débiteur doit payer la somme.", "La société a été jugée après délai.", "Le président a signé le contrat."]
+    rows = [(10**6 + 10 * i + j, "s", garble(t, read, true)) for i, (read, true) in enumerate(swaps) for j, t in enumerate(texts)]
+    odd = [(2 * 10**6, "s", "The seat\xad and the liquidat\xadeur."), (2 * 10**6 + 1, "s", "ملف والPDF في المادة"), (2 * 10**6 + 2, "s", "Señor Müller à Łódź.")]
+    df = spark.createDataFrame(clean + rows + odd, "doc_id long, source string, text string")
+    assert {r.doc_id for r in mojibake.found(df).collect()} == {r[0] for r in rows}
+
+
 def test_unknown_swap_is_learned(spark):
     """Letters of one source replaced by others that no code page has: found, and most letters restored."""
     docs = [(r.doc_id, "u", r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'ar' and text <> ''").collect()]
