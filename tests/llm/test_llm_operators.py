@@ -361,6 +361,18 @@ def test_scan_noise_end_to_end(spark):
     assert r[102] == "the inventory" and r[100] == words
 
 
+def test_repeated_lines_are_those_of_the_own_source(spark):
+    """Two scanned sources without titles: the lines that one repeats are text in the other."""
+    words = "the tenant must return the inventory to the landlord before the lease ends and the notary keeps it".split()
+    rnd = random.Random(6)
+    rows = [(i, "ab"[i % 2], " ".join(rnd.choice(words) for _ in range(120)) + "\n" + ("the notary keeps the lnventory" if i in range(0, 22, 2) else "the landlord waits")) for i in range(400)] + [(999, "b", "the lease ends\nthe notary keeps the lnventory")]
+    chunks = spark.createDataFrame(rows, "chunk_key long, source string, page_content string").coalesce(1)
+    qa = spark.createDataFrame([], "row_id long, source string, context string")
+    sources = spark.createDataFrame([("a", "scan", None), ("b", "scan", None)], "source string, kind string, title string")
+    got = {r.row_key for r in scan_noise.found(chunks, qa, sources).where("noise = 'char'").collect()}
+    assert got == {999}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 
