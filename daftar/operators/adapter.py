@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Triplets that are trained in memory (about 80 MB); full-batch steps beyond, which reach the loss of the mini-batches.
-LOCAL, FULL_STEPS = 50_000, 1000
+from daftar.operators.numbering import by_hash
+
+#: Triplets of a block, which one task trains on (about 80 MB at 64 dimensions).
+TRIPLETS = 50_000
 
 
 def schedule(step: int, warmup: int, total: int) -> float:
@@ -51,61 +53,94 @@ def _start(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.uniform(-a, a, (dim, dim)), rng.uniform(-a, a, dim)
 
 
+class Settings:
+    """Fixed values of the reference: 30 epochs in batches of 32, rate 0.003, warmup 100 steps, clip 1, margin 1."""
+
+    def __init__(self, epochs: int = 30, batch: int = 32, lr: float = 0.003, warmup: int = 100, max_norm: float = 1.0, margin: float = 1.0, seed: int = 0):
+        self.epochs, self.batch, self.lr, self.warmup, self.max_norm, self.margin, self.seed = epochs, batch, lr, warmup, max_norm, margin, seed
+
+
+class State:
+    """Weights, bias and the optimiser's moments, as one vector between rounds."""
+
+    def __init__(self, dim: int, s: Settings, vector: np.ndarray | None = None, steps: int = 0):
+        self.w, self.b = _start(dim, s.seed)
+        self.opt = AdamW([self.w.shape, self.b.shape], s.lr)
+        self.parts = [self.w, self.b, *self.opt.m, *self.opt.v]
+        self.opt.t = steps
+        if vector is not None:
+            at = 0
+            for x in self.parts:
+                x[...] = vector[at : at + x.size].reshape(x.shape)
+                at += x.size
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.parts])
+
+
+def train_block(state: State, s: Settings, q: np.ndarray, p: np.ndarray, n: np.ndarray, first: int, last: int) -> list[float]:
+    """Epochs first to last - 1 over one block in mini-batches, in a new order each: mean loss of the batches of each epoch."""
+    steps, losses = -(-len(q) // s.batch), []
+    for epoch in range(first, last):
+        order, total = np.random.default_rng((s.seed, epoch)).permutation(len(q)), 0.0
+        for i in range(0, len(q), s.batch):
+            at = order[i : i + s.batch]
+            loss, gw, gb = loss_and_gradient(state.w, state.b, q[at], p[at], n[at], s.margin)
+            total += loss / len(at)
+            state.opt.step([state.w, state.b], clip([gw / len(at), gb / len(at)], s.max_norm), schedule(epoch * steps + i // s.batch, s.warmup, steps * s.epochs))
+        losses.append(total / steps)
+    return losses
+
+
 def train_local(triplets: pd.DataFrame, epochs: int = 30, batch: int = 32, lr: float = 0.003, warmup: int = 100, max_norm: float = 1.0, margin: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Mini-batch training in memory (columns query, positive, negative): weight, bias, mean batch loss per epoch."""
     q, p, n = (np.stack(triplets[c].to_numpy()).astype(np.float64) for c in ("query", "positive", "negative"))
-    w, b = _start(q.shape[1], seed)
-    opt, rng = AdamW([w.shape, b.shape], lr), np.random.default_rng(seed)
-    steps = -(-len(q) // batch)
-    losses, step = [], 0
-    for _ in range(epochs):
-        order, total = rng.permutation(len(q)), 0.0
-        for i in range(0, len(q), batch):
-            at = order[i : i + batch]
-            loss, gw, gb = loss_and_gradient(w, b, q[at], p[at], n[at], margin)
-            total += loss / len(at)
-            opt.step([w, b], clip([gw / len(at), gb / len(at)], max_norm), schedule(step, warmup, steps * epochs))
-            step += 1
-        losses.append(total / steps)
-    return w, b, losses
-
-
-def train_distributed(triplets: DataFrame, dim: int, steps: int = 100, lr: float = 0.003, warmup: int = 10, max_norm: float = 1.0, margin: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Full-batch training on any number of triplets: each step sums gradients per partition, then over partitions."""
-    w, b = _start(dim, seed)
-    opt, losses = AdamW([w.shape, b.shape], lr), []
-    sc = triplets.sparkSession.sparkContext
-    rows = triplets.select("query", "positive", "negative").persist()
-    for step in range(steps):
-        shared = sc.broadcast((w, b))
-
-        def part(batches, shared=shared):
-            w, b = shared.value
-            total, gw, gb, count = 0.0, np.zeros_like(w), np.zeros_like(b), 0
-            for pdf in batches:
-                if len(pdf):
-                    loss, x, y = loss_and_gradient(w, b, *(np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("query", "positive", "negative")), margin)
-                    total, gw, gb, count = total + loss, gw + x, gb + y, count + len(pdf)
-            yield pd.DataFrame({"i": range(dim + 1), "g": [*gw.tolist(), gb.tolist()], "loss": [total] + [0.0] * dim, "n": [count] + [0] * dim})
-
-        g = rows.mapInPandas(part, "i int, g array<double>, loss double, n long")
-        g = g.groupBy("i").agg(F.array(*[F.sum(F.get("g", F.lit(j))) for j in range(dim)]).alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("i").collect()  # dim + 1 rows
+    s = Settings(epochs, batch, lr, warmup, max_norm, margin, seed)
+    state = State(q.shape[1], s)
+    losses = train_block(state, s, q, p, n, 0, epochs)
+    return state.w, state.b, losses
+
+
+def _part(shared, dim: int, s: Settings, steps: int):
+    """Training of one block from the shared state: the new state and the losses, times the block's size."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vector, first, last = shared.value
+        pdf = pdf.sort_values("_p")
+        state = State(dim, s, vector, first * steps)
+        some = train_block(state, s, *(np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("query", "positive", "negative")), first, last)
+        x = np.concatenate([state.vector(), some])
+        return pd.DataFrame({"i": np.arange(len(x)), "x": x * len(pdf)})
+
+    return run
+
+
+def train(triplets: DataFrame, dim: int, key: str, block: int = TRIPLETS, settings: Settings | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Weight, bias and mean loss per epoch of mini-batch training on any number of triplets (query, positive, negative).
+
+    Triplets are put into blocks of at most ``block`` in the order of a hash of ``key``.  In every epoch each block is
+    trained on in mini-batches by one task, from the same state, and the states are averaged by the blocks' sizes
+    (iterative parameter mixing).  One block, as the reference's own data make, is its training exactly.  The driver
+    holds one state, of 3 * dim * (dim + 1) numbers.
+    """
+    s = settings or Settings()
+    rows = by_hash(triplets.select(key, "query", "positive", "negative"), [key], "adapter", "_p")
+    count = rows.count()
+    if not count:
+        state = State(dim, s)
+        return state.w, state.b, []
+    blocks = -(-count // block)
+    rows = rows.withColumn("_block", (F.col("_p") % blocks).cast("int"))
+    steps, losses, vector = -(-(-(-count // blocks)) // s.batch), [], None
+    for epoch in range(0, s.epochs, s.epochs if blocks == 1 else 1):
+        last = s.epochs if blocks == 1 else epoch + 1
+        shared = rows.sparkSession.sparkContext.broadcast((vector, epoch, last))
+        got = rows.groupBy("_block").applyInPandas(_part(shared, dim, s, steps), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # one number of the state a row
         shared.unpersist()
-        if not g or not g[0].n:
-            break
-        n = g[0].n
-        losses.append(g[0].loss / n)
-        grads = [np.array([r.g for r in g[:dim]]) / n, np.array(g[dim].g) / n]
-        opt.step([w, b], clip(grads, max_norm), schedule(step, warmup, steps))
-    rows.unpersist()
-    return w, b, losses
-
-
-def train(triplets: DataFrame, dim: int, key: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """The reference's training (30 epochs in batches of 32, warmup 100), in the order of ``key``; of more than LOCAL triplets FULL_STEPS full-batch steps."""
-    if triplets.limit(LOCAL + 1).count() > LOCAL:
-        return train_distributed(triplets, dim, steps=FULL_STEPS, warmup=100)
-    return train_local(triplets.orderBy(key).select("query", "positive", "negative").toPandas())
+        x = np.array([r.x for r in got]) / count
+        vector, losses = x[: len(x) - (last - epoch)], losses + x[len(x) - (last - epoch) :].tolist()
+    state = State(dim, s, vector)
+    return state.w, state.b, losses
 
 
 def apply(df: DataFrame, vector: str, w: np.ndarray, b: np.ndarray, name: str = "adapted") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.functions.text import clean_arabic, col, source_label, strip
+from daftar.operators.numbering import by_order
 
 
 def marker_split(text: Column | str, separator: str, size: int, overlap: int = 0) -> Column:
@@ -40,39 +44,94 @@ def marker_split(text: Column | str, separator: str, size: int, overlap: int = 0
     return F.when(col(text).isNotNull(), F.aggregate(pieces, F.struct(none.alias("out"), none.alias("cur")), step, lambda s: emit(s["out"], s["cur"])))
 
 
+#: Separators in the order in which they are tried; the last one stands between all characters.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
 def words(text: str) -> int:
     return len(text.split())
 
 
-def token_chunks(text: str, size: int, overlap: int, count: Callable[[str], int]) -> list[str]:
-    """Pieces at blanks merged up to ``size`` tokens, the last of a chunk repeated up to ``overlap`` tokens."""
-    out, cur, total = [], [], 0
-    parts = [(p, count(p)) for p in re.split(r"(?= )", text) if p]
+class TokenCounter:
+    """Tokens of a public byte-level BPE vocabulary; the file of ranks travels with the counter and is loaded once a worker."""
+
+    def __init__(self, path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"):
+        with open(path, "rb") as f:
+            self.raw = f.read()
+        self.encode = None
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "encode": None}
+
+    def __call__(self, text: str) -> int:
+        if self.encode is None:
+            import tiktoken
+
+            # Fixed value: the public split pattern of this vocabulary.
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.raw.splitlines())}
+            self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return len(self.encode(text))
+
+
+def _merge(parts: list[tuple[str, int]], size: int, overlap: int) -> list[str]:
+    """Parts packed into chunks of at most size; leading parts go until at most overlap stays and the next part fits."""
+    out: list[str] = []
+    cur: deque = deque()
+    total = 0
     for p, n in parts:
         if cur and total + n > size:
             out.append("".join(x for x, _ in cur).strip())
             while cur and (total > overlap or total + n > size):
-                total -= cur.pop(0)[1]
+                total -= cur.popleft()[1]
         cur.append((p, n))
         total += n
-    if cur:
-        out.append("".join(x for x, _ in cur).strip())
+    out.append("".join(x for x, _ in cur).strip())
     return [x for x in out if x]
 
 
+def token_chunks(text: str, size: int, overlap: int, count: Callable[[str], int], separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Chunks of at most ``size`` by ``count``, cut at the first separator that the text has, finer ones where a part is too large.
+
+    A separator stays at the start of the part behind it.  Parts are measured one by one and merged, so a chunk's own
+    count may differ a little from the sum.  Chunks are stripped, empty ones dropped.  A single character that counts
+    more than ``size`` is a chunk of its own.
+    """
+    at = next((i for i, x in enumerate(separators) if not x or x in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    parts = [p for p in (re.split(f"(?={re.escape(sep)})", text) if sep else text) if p]
+    out: list[str] = []
+    fit: list[tuple[str, int]] = []
+    for p in parts:
+        n = count(p)
+        if n < size or not finer and len(p) == 1:
+            fit.append((p, n))
+            continue
+        out += _merge(fit, size, overlap)
+        fit = []
+        out += token_chunks(p, size, overlap, count, finer) if finer else [p]
+    return out + _merge(fit, size, overlap)
+
+
 def token_split(df: DataFrame, text: str, size: int = 600, overlap: int = 100, count: Callable[[str], int] = words) -> DataFrame:
-    """df with one row per chunk of the text (column chunk) and its position from 0."""
+    """df with one row per chunk of the text (column chunk) and its position from 0; other columns are kept."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "position int", "chunk string"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            chunks = pdf[text].map(lambda t: [] if t is None else list(enumerate(token_chunks(t, size, overlap, count))))
-            out = pdf.assign(_c=chunks).explode("_c").dropna(subset="_c")
-            yield out.assign(position=[c[0] for c in out["_c"]], chunk=[c[1] for c in out["_c"]]).drop(columns="_c")
+            chunks = [[] if t is None else token_chunks(t, size, overlap, count) for t in pdf[text]]
+            rows = np.repeat(np.arange(len(pdf)), [len(c) for c in chunks])
+            out = {c: pdf[c].to_numpy()[rows] for c in pdf.columns}
+            yield pd.DataFrame({**out, "position": [i for c in chunks for i in range(len(c))], "chunk": pd.Series([x for c in chunks for x in c], dtype=object)})
 
     return df.mapInPandas(split, schema)
 
 
-def process_documents(docs: DataFrame, size: int = 600, overlap: int = 100, count: Callable[[str], int] = words) -> DataFrame:
-    """source, page_content -> cleaned text and label, split by tokens: source, position, chunk.  Clean first, then split."""
-    return token_split(docs.select(source_label("source").alias("source"), clean_arabic("page_content").alias("page_content")), "page_content", size, overlap, count).drop("page_content")
+def process_documents(docs: DataFrame, key: list[str], size: int = 600, overlap: int = 100, count: Callable[[str], int] | None = None) -> DataFrame:
+    """Clean, then split, then number: source (label), chunk_id (from 1, over all documents), page_content, and the key.
+
+    ``key`` tells the documents apart and gives their order; count defaults to the tokens of a public vocabulary.
+    """
+    clean = docs.select(*key, source_label("source").alias("source"), clean_arabic("page_content").alias("_t"))
+    c = token_split(clean, "_t", size, overlap, count or TokenCounter()).drop("_t")
+    return by_order(c, [*key, "position"], "chunk_id").select(*key, "source", "chunk_id", F.col("chunk").alias("page_content"))

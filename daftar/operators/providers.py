@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,19 +23,25 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Bag of hashed words, scaled to length one: deterministic, no model file."""
+    """Bag of hashed words, scaled to length one unless ``normalise`` is off: deterministic, no model file.
 
-    def __init__(self, dim: int = 64):
-        self.name, self.dim = f"hashing-{dim}", dim
+    A word adds 1 or -1 (by the first bit of its MD5) to one of ``dim`` places (by the 32 bits behind the first four).
+    """
+
+    def __init__(self, dim: int = 64, normalise: bool = True):
+        self.name, self.dim, self.normalise = f"hashing-{dim}" + "-raw" * (not normalise), dim, normalise
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
+        out, memo = np.zeros((len(texts), self.dim)), {}
         for i, t in enumerate(texts):
             for w in (t or "").split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1.0 if h >> 63 else -1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n > 0, n, 1)
+                at = memo.get(w)
+                if at is None:
+                    h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+                    at = memo[w] = (int(h[1:9], 16) % self.dim, 1.0 if h[0] >= "8" else -1.0)
+                out[i, at[0]] += at[1]
+        n = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(n > 0, n, 1) if self.normalise else out
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding") -> DataFrame:
@@ -52,13 +59,21 @@ def embed(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding")
     return df.withColumn(name, run(text))
 
 
-LLM = Callable[[str], str]
+class LLM(Protocol):
+    """A prompt to its answer.  temperature and max_tokens are passed where they are set; None leaves the model's own."""
+
+    def __call__(self, prompt: str, **options) -> str: ...
+
 
+#: Fixed value: the temperature the pipelines ask for.
+TEMPERATURE = 0.7
 
-def echo_llm(prompt: str) -> str:
-    """Stand-in: the last line of the prompt that is not blank."""
+
+def echo_llm(prompt: str, temperature: float | None = None, max_tokens: int | None = None) -> str:
+    """Stand-in: the last line of the prompt that is not blank, its first max_tokens words."""
     lines = [x for x in prompt.splitlines() if x.strip()]
-    return lines[-1] if lines else ""
+    last = lines[-1] if lines else ""
+    return last if max_tokens is None else " ".join(last.split()[:max_tokens])
 
 
 def classify(message: str) -> str:
@@ -67,30 +82,43 @@ def classify(message: str) -> str:
     return "unavailable" if "503" in message or "Service Unavailable" in message else "unknown"
 
 
-def with_retry(models: list[LLM], prompt: str, attempts: int = 5, wait: Callable[[float], None] = lambda s: None) -> tuple[str | None, int, str | None]:
-    """(answer, attempts, error): the next model after a rate limit or unknown error, the same after unavailability."""
-    at, error = 0, None
+def with_retry(models: list[LLM], prompt: str, attempts: int = 5, wait: Callable[[float], None] = time.sleep, at: int = 0, **options) -> tuple[str | None, int, str | None, int]:
+    """(answer, attempts, error, model): the next model and 2 s after a rate limit or unknown error, the same and 5 s after unavailability.
+
+    No wait follows the last attempt.  ``at`` is the model to begin with.
+    """
+    error = None
     for n in range(1, attempts + 1):
         try:
-            return models[at](prompt), n, None
+            return models[at](prompt, **options), n, None, at
         except Exception as e:  # noqa: BLE001
             error = str(e)
-            if classify(error) == "unavailable":
-                wait(5)
-            else:
-                at = (at + 1) % len(models)
-                wait(2)
-    return None, attempts, error
+            away = classify(error) == "unavailable"
+            at = at if away else (at + 1) % len(models)
+            if n < attempts:
+                wait(5 if away else 2)
+    return None, attempts, error, at
+
 
+def generate(df: DataFrame, prompt: str, models: list[LLM] | None = None, name: str = "response", attempts: int = 5, wait: Callable[[float], None] = time.sleep, temperature: float | None = TEMPERATURE, max_tokens: int | None = None) -> DataFrame:
+    """df with the model's response to a prompt column, attempts and error; a failed call is a row with its error.
 
-def generate(df: DataFrame, prompt: str, models: list[LLM] | None = None, name: str = "response", attempts: int = 5, wait: Callable[[float], None] = lambda s: None) -> DataFrame:
-    """df with the model's response to a prompt column, attempts and error; a failed call is a row with its error."""
+    A task stays with the model that worked last.  Null prompts are not asked.
+    """
     models = models or [echo_llm]
+    options = {k: v for k, v in (("temperature", temperature), ("max_tokens", max_tokens)) if v is not None}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{name} string", "attempts int", "error string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = 0
         for pdf in batches:
-            got = [(None, 0, None) if p is None else with_retry(models, p, attempts, wait) for p in pdf[prompt]]
+            got = []
+            for p in pdf[prompt]:
+                if p is None:
+                    got.append((None, 0, None))
+                    continue
+                *row, at = with_retry(models, p, attempts, wait, at, **options)
+                got.append(tuple(row))
             yield pdf.assign(**{name: [g[0] for g in got], "attempts": [g[1] for g in got], "error": [g[2] for g in got]})
 
     return df.mapInPandas(run, schema)

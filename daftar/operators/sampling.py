@@ -11,8 +11,8 @@ from daftar.operators.numbering import by_hash
 
 
 def hashed(seed: str, *keys: Column | str) -> Column:
-    """Pseudo-random whole number below 2^32 from md5(seed|keys)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+    """Pseudo-random whole number below 2^60 from md5(seed|keys)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])), 1, 15), 16, 10).cast("long")
 
 
 def train_test_split(df: DataFrame, key: str, test: float = 0.2, seed: str = "42") -> DataFrame:

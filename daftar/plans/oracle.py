@@ -64,8 +64,11 @@ SQL["build_prompt"] = "SELECT row_id, 'C: ' || context || chr(10) || 'Q: ' || qu
 SQL["strip_join_lines"] = f"SELECT chunk_key, array_to_string(list_transform(string_split(regexp_replace(page_content, '\\n$', ''), chr(10)), lambda x: {_strip('x')}), ' ') || ' ' AS joined FROM chunks"
 SQL["csv_documents"] = "SELECT 'qa.csv' AS source, row_id AS row, 'context: ' || coalesce(context, '') || chr(10) || 'question: ' || coalesce(question, '') || chr(10) || 'answer: ' || coalesce(answer, '') AS page_content FROM qa_pairs"
 SQL["error_policy"] = "SELECT event_type, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'unavailable' WHEN 'click' THEN 'unknown' END AS policy, count(*) AS n FROM events GROUP BY 1, 2"
-SQL["page_marked_text"] = """WITH t AS (SELECT source, 'Total pages: ' || count(*) || chr(10) || string_agg(chr(10) || 'Page number: ' || chunk_id || chr(10) || page_content, chr(10) ORDER BY chunk_id, chunk_key) AS t FROM chunks WHERE source IS NOT NULL AND page_content IS NOT NULL GROUP BY source)
-SELECT source, md5(t) AS text_md5, length(t)::INT AS size FROM t"""
+SQL["page_marked_text"] = """WITH c AS (SELECT source, chunk_id AS page_number, chunk_key AS row_no, ['', 'Page number: ' || chunk_id, ''] || string_split(page_content, chr(10)) AS l FROM chunks WHERE source IS NOT NULL AND page_content IS NOT NULL)
+SELECT source, NULL::BIGINT AS page_number, NULL::BIGINT AS row_no, 0::INT AS line_no, 'Total pages: ' || count(*) AS line FROM c GROUP BY source
+UNION ALL SELECT source, page_number, row_no, (generate_subscripts(l, 1) - 1)::INT, unnest(l) FROM c"""
+SQL["page_marked_document"] = """WITH l AS (SELECT item_id, string_split(text, '.') AS l FROM eval_items WHERE text IS NOT NULL)
+SELECT item_id, 'Total pages: ' || len(l) || chr(10) || array_to_string(list_transform(l, lambda x, i: chr(10) || 'Page number: ' || i || chr(10) || chr(10) || x), chr(10)) AS text FROM l"""
 SQL["page_lines"] = "SELECT chunk_key AS source, generate_subscripts(l, 1)::INT AS line_no, unnest(l) AS line FROM (SELECT chunk_key, string_split(regexp_replace(page_content, '\\n$', ''), chr(10)) AS l FROM chunks)"
 
 SQL["qa_parse"] = f"""WITH r AS (SELECT row_id, string_split('preamble Question : ' || question || ' | ' || answer || ' Question : a | b | c Question :  q2 | ' || chr(10) || ' a2 ', 'Question :') AS p FROM qa_pairs),
@@ -75,7 +78,88 @@ SELECT row_id, pair_no, {_strip('two[1]')} AS question, {_strip('two[2]')} AS an
 SQL["human_qa_islands"] = f"""SELECT (row_id // 20)::BIGINT AS file, row_number() OVER (PARTITION BY row_id // 20 ORDER BY row_id) AS pair_no, {_strip("'س ' || row_id || ') ' || replace(question, chr(10), ' ')")} AS question,
 {_strip(_strip("replace(coalesce(answer, ''), chr(10), ' ')") + " || ' end'")} AS answer FROM qa_pairs WHERE question IS NOT NULL"""
 SQL["append_frames"] = "SELECT doc_id AS id, text, lang, NULL::VARCHAR AS split FROM documents UNION ALL SELECT item_id, text, NULL, split FROM eval_items"
-SQL["generated_pairs"] = "SELECT chunk_key, 'q' AS question, 'a' AS answer FROM chunks WHERE page_content IS NOT NULL"
+
+
+def _flat(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '[{_WS}|]', ' ', 'g')")
+
+
+SQL["generated_pairs"] = f"SELECT chunk_key, {_flat('substr(page_content, 1, 60)')} AS question, {_flat('substr(page_content, 30, 80)')} AS answer FROM chunks WHERE page_content IS NOT NULL"
+
+
+def _split(table: str, key: str, text: str, separator: str, size: int, overlap: int) -> str:
+    """CTEs of the marker splitter: _chunks (key, position from 0, chunk); i is the next piece, s where the current chunk begins."""
+    sep = "chr(10)" if separator == "\n" else f"'{separator}'"
+    cur = _strip("array_to_string(l[s:i - 1], '')")
+    had = "c[i] - c[s]"
+    return f"""_parts AS (SELECT {key}, string_split({text}, {sep}) AS p FROM {table} WHERE {text} IS NOT NULL),
+_pieces AS (SELECT {key}, list_filter([p[1]] || list_transform(p[2:], lambda x: {sep} || x), lambda x: x <> '') AS l FROM _parts),
+_sums AS (SELECT {key}, l, [0] || list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda x: length(x)))::BIGINT) AS c FROM _pieces),
+_steps AS (SELECT {key}, l, c, 1::BIGINT AS i, 1::BIGINT AS s, []::VARCHAR[] AS out FROM _sums UNION ALL
+SELECT {key}, l, c, i + 1, CASE WHEN i > len(l) THEN s WHEN length(l[i]) >= {size} THEN i + 1
+WHEN s < i AND {had} + length(l[i]) > {size} THEN coalesce(list_min(list_filter(range(s, i), lambda j: c[i] - c[j] <= {overlap} AND c[i] - c[j] + length(l[i]) <= {size})), i) ELSE s END,
+list_filter(CASE WHEN i > len(l) THEN [{cur}] WHEN length(l[i]) >= {size} THEN [{cur}, l[i]] WHEN s < i AND {had} + length(l[i]) > {size} THEN [{cur}] ELSE [] END, lambda x: x <> '')
+FROM _steps WHERE i <= len(l) + 1),
+_out AS (SELECT {key}, i, generate_subscripts(out, 1) AS j, unnest(out) AS chunk FROM _steps),
+_chunks AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i, j) - 1 AS position, chunk FROM _out)"""
+
+
+SQL["chunk_pages"] = f"WITH RECURSIVE {_split('documents', 'doc_id', 'text', chr(10), 400, 0)} SELECT doc_id, position::INT AS position, chunk FROM _chunks"
+SQL["chunk_overlap"] = f"WITH RECURSIVE {_split('chunks', 'chunk_key', 'page_content', chr(10), 500, 200)} SELECT chunk_key, position::INT AS position, chunk FROM _chunks"
+_LABEL = "replace(regexp_replace(list_last(string_split(source, '/')), '\\.txt$', ''), '_', ' ')"
+_STORE = f"""{_split('chunks', 'chunk_key', 'page_content', 'Page number', 1000, 0)},
+_store AS (SELECT 'chunk_' || (n - 1) AS id, document, CASE WHEN source IS NULL THEN '{{"chunk_id":' || n || '}}' ELSE '{{"source":"' || {_LABEL} || '","chunk_id":' || n || '}}' END AS metadata FROM (
+SELECT c.chunk_key, source, {_clean('chunk', True)} AS document, row_number() OVER (ORDER BY c.chunk_key, position) AS n FROM _chunks c JOIN chunks USING (chunk_key)))"""
+SQL["index_build"] = f"WITH RECURSIVE {_STORE} SELECT * FROM _store"
+
+
+def _hashed(name: str, key: str, text: str, table: str, dim: int = 64) -> str:
+    """CTEs of the stand-in embedder: name (k, v), scaled to length one in single precision."""
+    return f"""_w{name} AS (SELECT {key} AS k, unnest(string_split_regex({text}, '[{_WS}]+')) AS w FROM {table}),
+_n{name} AS (SELECT k, (('0x' || substr(md5(w), 2, 8))::BIGINT % {dim}) AS p, sum(CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM _w{name} WHERE w <> '' GROUP BY 1, 2),
+_l{name} AS (SELECT k, map_from_entries(list((p, x))) AS m, sqrt(sum(x * x)) AS n FROM _n{name} GROUP BY 1),
+{name} AS (SELECT k, list_transform(range({dim}), lambda i: (coalesce(m[i], 0) / n)::FLOAT::DOUBLE) AS v FROM _l{name} WHERE n > 0)"""
+
+
+_NEAR = "round(1 - list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(q.v, lambda x: x * x)) * list_sum(list_transform(e.v, lambda x: x * x))), 9)"
+
+
+def _hits(k: int) -> str:
+    return f"""{_STORE}, {_hashed('_e', 'id', 'document', '_store')}, {_hashed('_q', 'item_id', 'question', '(SELECT * FROM eval_items WHERE item_id % 50 = 0)')},
+_d AS (SELECT q.k AS query_id, e.k AS id, {_NEAR} AS d FROM _q q, _e e),
+_hits AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM _d) WHERE rank <= {k}),
+_shown AS (SELECT query_id, string_agg(document, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('**Document ' || rank || ':**' || chr(10) || document || chr(10) || '**Metadata:** ' || metadata, chr(10) ORDER BY rank) AS both_shown,
+string_agg('Document ' || rank || ':' || chr(10) || document, chr(10) || chr(10) ORDER BY rank) AS documents, string_agg('Metadata ' || rank || ':' || chr(10) || metadata, chr(10) || chr(10) ORDER BY rank) AS metadatas FROM _hits JOIN _store USING (id) GROUP BY query_id)"""
+
+
+_PROMPT = "'Answer the question from the context only. If it is not there, say ''NO ANSWER IS AVAILABLE.''' || chr(10) || '### Context' || chr(10) || coalesce(context, '') || chr(10) || '### Question' || chr(10) || question || chr(10) || '### Answer:'"
+_ASKED = "FROM eval_items LEFT JOIN _shown ON query_id = item_id WHERE item_id % 50 = 0"
+for _name, _k in (("frozen_rag", 7), ("hyde_rag", 5)):
+    SQL[_name] = f"WITH RECURSIVE {_hits(_k)} SELECT item_id AS query_id, {_PROMPT} AS prompt, '### Answer:' AS response, 1::INT AS attempts {_ASKED}"
+SQL["serve_frozen"] = f"WITH RECURSIVE {_hits(7)} SELECT item_id AS query_id, '### Answer:' AS answer, coalesce(both_shown, '') AS documents {_ASKED}"
+SQL["serve_hyde"] = f"WITH RECURSIVE {_hits(5)} SELECT item_id AS query_id, '### Answer:' AS answer, coalesce(documents, '') AS documents, coalesce(metadatas, '') AS metadatas {_ASKED}"
+SQL["multi_query_rag"] = f"WITH RECURSIVE {_hits(4)} SELECT query_id, id AS doc, round(3.0::DOUBLE / (rank + 59), 6) AS score, rank::INT AS fused_rank FROM _hits"
+SQL["embed_texts"] = f"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '[{_WS}]+')) AS w FROM eval_items WHERE text IS NOT NULL),
+n AS (SELECT item_id, ('0x' || substr(md5(w), 2, 8))::BIGINT % 16 AS i, CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END AS x FROM w WHERE w <> '')
+SELECT e.item_id, r.i::INT AS i, coalesce(sum(n.x), 0)::FLOAT AS x FROM eval_items e CROSS JOIN range(16) r(i) LEFT JOIN n ON n.item_id = e.item_id AND n.i = r.i WHERE e.text IS NOT NULL GROUP BY 1, 2"""
+SQL["retrieval_evaluation"] = f"""WITH p AS (SELECT row_id, question, context FROM qa_pairs WHERE question IS NOT NULL AND context IS NOT NULL),
+{_hashed('_e', "'chunk_' || row_id", 'context', 'p')}, {_hashed('_q', 'row_id', 'question', '(SELECT * FROM p WHERE row_id % 50 = 0)')},
+d AS (SELECT q.k AS query_id, e.k AS id, {_NEAR} AS d FROM _q q, _e e),
+h AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d) WHERE rank <= 10),
+x AS (SELECT h.query_id, h.rank, p.context FROM h JOIN p ON h.id = 'chunk_' || p.row_id),
+b AS (SELECT t.row_id, min(x.rank) AS rank FROM p t LEFT JOIN x ON x.query_id = t.row_id AND x.context = t.context WHERE t.row_id % 50 = 0 GROUP BY 1)
+SELECT round(avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS avg_hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS avg_reciprocal_rank FROM b"""
+
+_FILE = "title || chr(10) || chr(12) || kind || chr(10) || lang || chr(10)"
+SQL["text_files"] = f"SELECT md5(source) AS file, {_FILE} AS page_content FROM sources"
+SQL["split_files"] = f"WITH RECURSIVE t AS (SELECT md5(source) AS file, {_FILE} AS x FROM sources), {_split('t', 'file', 'x', chr(10), 30, 0)} SELECT file, position::INT AS position, chunk AS page_content FROM _chunks"
+SQL["scan_lines"] = "SELECT md5(source) AS file, 1::INT AS page_number, 1::INT AS line_no, title AS line FROM sources UNION ALL SELECT md5(source), 2, 1, kind FROM sources UNION ALL SELECT md5(source), 2, 2, lang FROM sources"
+SQL["csv_files"] = "SELECT nullif(context, '') AS context, nullif(question, '') AS question, nullif(answer, '') AS answer FROM qa_pairs"
+SQL["named_splits"] = "SELECT row_id, question FROM qa_pairs WHERE split = 'validation'"
+SQL["vector_store"] = "SELECT id, document, metadata FROM vectors WHERE len(embedding) = 64"
+SQL["memory_store"] = "SELECT 'chunk_' || (row_number() OVER (ORDER BY item_id) - 1) AS id, text AS document, split AS metadata FROM eval_items WHERE text IS NOT NULL"
+SQL["adapter_files"] = """SELECT (dense_rank() OVER (ORDER BY label) - 1)::INT AS i, j::INT AS j, round(avg(x), 6) AS w, label::DOUBLE AS b, 64::INT AS dim FROM (
+SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) GROUP BY label, j"""
 
 SQL["chunk_stats"] = "SELECT source, count(*) AS n, min(length(page_content))::INT AS shortest, max(length(page_content))::INT AS longest, round(avg(length(page_content)), 6) AS mean FROM chunks GROUP BY source"
 _NUMBERS = "SELECT chunk_key, row_number() OVER (ORDER BY coalesce(source, ''), chunk_id, chunk_key) AS position FROM chunks"
@@ -87,7 +171,7 @@ SQL["stuff_context"] = "SELECT source, string_agg(page_content, chr(10) || chr(1
 
 SQL["train_test_split"] = "SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= ceil(0.2 * (SELECT count(*) FROM documents)) AS is_test FROM documents"
 SQL["negative_sample"] = """WITH c AS (SELECT chunk_key AS negative, row_number() OVER (ORDER BY md5('0|' || chunk_key), chunk_key) - 1 AS p FROM chunks)
-SELECT q.row_id, c.negative FROM qa_pairs q JOIN c ON c.p = ('0x' || substr(md5('0|0|' || q.row_id), 1, 8))::BIGINT % (SELECT count(*) FROM chunks)"""
+SELECT q.row_id, c.negative FROM qa_pairs q JOIN c ON c.p = ('0x' || substr(md5('0|0|' || q.row_id), 1, 15))::BIGINT % (SELECT count(*) FROM chunks)"""
 SQL["shuffled_batches"] = "SELECT doc_id, ceil(row_number() OVER (ORDER BY md5('0|0|' || doc_id), doc_id) / 32.0)::BIGINT AS batch FROM documents"
 _FAR = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE + 1e-6) * (z[1]::DOUBLE - z[2]::DOUBLE + 1e-6))))"
 SQL["triplet_loss"] = f"""WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
@@ -13,8 +12,8 @@ from daftar.functions import vectors as V
 from daftar.operators import adapter, chunking, knn, lexical, numbering, providers, qa, ranking, sampling
 from daftar.plans import pipelines
 from daftar.plans.oracle import SQL  # noqa: F401
-from daftar.session import scratch_dir
-from daftar.sources import readers
+from daftar.session import cut, fresh
+from daftar.sources import readers, sinks
 from daftar.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,18 +93,22 @@ def rag_prompt(s: SparkSession, d: str) -> DataFrame:
     return pipelines.prompts(q, hits.join(docs, "id")).select("query_id", "prompt")
 
 
+def _first_five(s: SparkSession, d: str) -> DataFrame:
+    """Each source's first five vectors' documents and metadata: cut before they are collected."""
+    v = table(s, d, "vectors").where("source is not null and document is not null").select("source", "vec_id", "document", "metadata")
+    v = v.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("vec_id"))).where("rank <= 5")
+    x = v.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "document", "metadata"))).alias("x"))
+    return x.select("source", F.transform("x", lambda y: y["document"]).alias("d"), F.transform("x", lambda y: y["metadata"]).alias("m"))
+
+
 @query
 def display_frozen(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "vectors").where("source is not null and document is not null").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("vec_id", "document", "metadata"))).alias("x"))
-    first = F.slice("x", 1, 5)
-    return c.select("source", T.numbered_documents(F.transform(first, lambda y: y["document"]), F.transform(first, lambda y: y["metadata"])).alias("display"))
+    return _first_five(s, d).select("source", T.numbered_documents("d", "m").alias("display"))
 
 
 @query
 def display_hyde(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "vectors").where("source is not null and document is not null").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("vec_id", "document", "metadata"))).alias("x"))
-    first = F.slice("x", 1, 5)
-    return c.select("source", T.numbered("Document", F.transform(first, lambda y: y["document"])).alias("documents"), T.numbered("Metadata", F.transform(first, lambda y: y["metadata"])).alias("metadatas"))
+    return _first_five(s, d).select("source", T.numbered("Document", "d").alias("documents"), T.numbered("Metadata", "m").alias("metadatas"))
 
 
 @query
@@ -188,11 +191,16 @@ def error_policy(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_marked_text(s: SparkSession, d: str) -> DataFrame:
-    """The chunks of each source as pages of one text."""
+    """The chunks of each source as pages of one text, line by line."""
     c = table(s, d, "chunks").where("source is not null and page_content is not null")
-    lines = F.transform(F.split("page_content", "\n", -1), lambda x: F.struct(x.alias("content")))
-    p = c.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("chunk_id").cast("int").alias("page_number"), "chunk_key", lines.alias("lines")))).alias("pages"))
-    return p.select("source", F.md5(readers.page_marked("pages")).alias("text_md5"), F.length(readers.page_marked("pages")).alias("size"))
+    return readers.page_marked_lines(c.select("source", F.col("chunk_id").alias("page_number"), F.col("chunk_key").alias("row_no"), "page_content"))
+
+
+@query
+def page_marked_document(s: SparkSession, d: str) -> DataFrame:
+    """Each item's sentences as pages of one line, as one text."""
+    lines = F.transform(F.split("text", "\\.", -1), lambda x, i: F.struct((i + 1).alias("page_number"), F.array(F.struct(x.alias("content"))).alias("lines")))
+    return table(s, d, "eval_items").where("text is not null").select("item_id", readers.page_marked(lines).alias("text"))
 
 
 @query
@@ -229,8 +237,10 @@ def append_frames(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def generated_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Pairs written by the stand-in model: it repeats the last line of the prompt."""
-    c = table(s, d, "chunks").where("page_content is not null").withColumn("page_content", F.concat("page_content", F.lit("\nQuestion : q | a")))
+    """Pairs written by the stand-in model: it repeats the last line of the prompt, here the chunk's own opening and end."""
+    flat = lambda c: T.strip(F.regexp_replace(c, rf"[{T.WS}|]", " "))
+    own = F.concat(F.lit("\nQuestion : "), flat(F.substring("page_content", 1, 60)), F.lit(" | "), flat(F.substring("page_content", 30, 80)))
+    c = table(s, d, "chunks").where("page_content is not null").withColumn("page_content", F.concat("page_content", own))
     return pipelines.generate_pairs(c, keep=["chunk_key"]).select("chunk_key", "question", "answer")
 
 
@@ -251,8 +261,14 @@ def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_chunks(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunks").where("page_content is not null")
-    return chunking.process_documents(c.select("source", "page_content"), 60, 10)
+    """Raw texts cut at paragraphs, lines, blanks and characters, by words."""
+    return chunking.token_split(table(s, d, "chunks").select("chunk_key", F.col("page_content").alias("text")), "text", 60, 10).drop("text")
+
+
+@query
+def processed_documents(s: SparkSession, d: str) -> DataFrame:
+    """Cleaned, cut by the tokens of a public vocabulary at the reference's 600 and 100, and numbered."""
+    return chunking.process_documents(table(s, d, "documents").select("doc_id", "source", F.col("text").alias("page_content")), ["doc_id"])
 
 
 @query
@@ -265,8 +281,7 @@ def chunk_stats(s: SparkSession, d: str) -> DataFrame:
 def chunk_numbers(s: SparkSession, d: str) -> DataFrame:
     """Numbers over all sources in order, and vector ids."""
     c = table(s, d, "chunks").select("chunk_key", "source", "chunk_id")
-    block = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.floor(F.col("chunk_id") / 1024).alias("c"))
-    n = numbering.by_order(c, block, ["chunk_id", "chunk_key"], "position")
+    n = numbering.by_order(c, [F.coalesce("source", F.lit("")), "chunk_id", "chunk_key"], "position")
     return numbering.vector_ids(n, "position").select("chunk_key", "position", "id")
 
 
@@ -361,7 +376,7 @@ def adapter_training(s: SparkSession, d: str) -> DataFrame:
 
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, providers.HashingEmbedder]:
     e = providers.HashingEmbedder()
-    store = pipelines.build_index(table(s, d, "chunks").where("source is not null").select("source", "page_content"), e)
+    store = pipelines.build_index(table(s, d, "chunks").select("chunk_key", "source", "page_content"), e, ["chunk_key"])
     q = table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), "question")
     return store, _asked(q, "query_id"), e
 
@@ -374,26 +389,130 @@ def index_build(s: SparkSession, d: str) -> DataFrame:
 @query
 def frozen_rag(s: SparkSession, d: str) -> DataFrame:
     store, q, e = _index(s, d)
-    return pipelines.answer(q, store, e).select("query_id", "response", "attempts")
+    return pipelines.answer(q, store, e).select("query_id", "prompt", "response", "attempts")
 
 
 @query
 def hyde_rag(s: SparkSession, d: str) -> DataFrame:
     store, q, e = _index(s, d)
-    return pipelines.answer_by_hypothesis(q, store, e).select("query_id", "response", "attempts")
+    return pipelines.answer_by_hypothesis(q, store, e).select("query_id", "prompt", "response", "attempts")
+
+
+@query
+def serve_frozen(s: SparkSession, d: str) -> DataFrame:
+    store, q, e = _index(s, d)
+    return pipelines.serve(q, store, e)
+
+
+@query
+def serve_hyde(s: SparkSession, d: str) -> DataFrame:
+    store, q, e = _index(s, d)
+    return pipelines.serve_by_hypothesis(q, store, e)
 
 
 @query
 def multi_query_rag(s: SparkSession, d: str) -> DataFrame:
     store, q, e = _index(s, d)
-    return pipelines.fused(pipelines.multi_query(q, store, e))
+    return pipelines.fused(pipelines.multi_query(q, store, e)).withColumn("score", F.round("score", 6))
+
+
+@query
+def embed_texts(s: SparkSession, d: str) -> DataFrame:
+    """The stand-in's vectors, not scaled."""
+    x = providers.embed(table(s, d, "eval_items").select("item_id", "text"), "text", providers.HashingEmbedder(16, normalise=False))
+    return x.select("item_id", F.posexplode("embedding").alias("i", "x"))
 
 
 @query
 def retrieval_evaluation(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "qa_pairs").where("question is not null and context is not null")
     store = providers.embed(q.select(F.concat(F.lit("chunk_"), "row_id").alias("id"), F.col("context").alias("document"), F.lit("{}").alias("metadata")), "document", providers.HashingEmbedder())
-    return pipelines.evaluate(_asked(q, "row_id").select(F.col("row_id").alias("query_id"), "question", "context"), store, providers.HashingEmbedder())
+    m = pipelines.evaluate(_asked(q, "row_id").select(F.col("row_id").alias("query_id"), "question", "context"), cut(store), providers.HashingEmbedder())
+    return m.select(F.round("avg_hit_rate", 6).alias("avg_hit_rate"), F.round("avg_reciprocal_rank", 6).alias("avg_reciprocal_rank"))
+
+
+# --- sources and sinks: written to the shared folder and read back ------------------------------------------------
+
+
+def _files(s: SparkSession, d: str) -> str:
+    """A folder with one text file for each row of sources: title, form feed, kind, language."""
+    at = fresh(s)
+    x = table(s, d, "sources").select(F.md5("source").alias("f"), F.concat("title", F.lit("\n\f"), "kind", F.lit("\n"), "lang").alias("t"))
+    x.repartition("f").write.partitionBy("f").option("lineSep", "\n").text(at)
+    return f"{at}/*"
+
+
+def _file(c: str = "source") -> Column:
+    return F.regexp_extract(c, "/f=([0-9a-f]+)/", 1).alias("file")
+
+
+@query
+def text_files(s: SparkSession, d: str) -> DataFrame:
+    """Whole files of a directory, by pattern."""
+    return readers.text_documents(s, _files(s, d), "*.txt").select(_file(), "page_content")
+
+
+@query
+def split_files(s: SparkSession, d: str) -> DataFrame:
+    x = readers.load_and_split(s, _files(s, d), "\n", 30, glob="part-*")
+    return x.select(_file(), "position", "page_content")
+
+
+@query
+def scan_lines(s: SparkSession, d: str) -> DataFrame:
+    """Binary files through the stand-in extractor to pages, and pages to lines."""
+    return readers.page_lines(readers.read_scans(s, _files(s, d))).select(_file(), "page_number", "line_no", "line")
+
+
+@query
+def csv_files(s: SparkSession, d: str) -> DataFrame:
+    """Triples with quoted line breaks and quotes, written as CSV and read back."""
+    at = fresh(s)
+    sinks.write_csv(table(s, d, "qa_pairs").select("context", "question", "answer"), at)
+    return readers.read_csv(s, at)
+
+
+@query
+def named_splits(s: SparkSession, d: str) -> DataFrame:
+    at = fresh(s)
+    table(s, d, "qa_pairs").select("row_id", "question", "split").write.partitionBy("split").parquet(at)
+    return readers.read_split(s, {x: f"{at}/split={x}" for x in ("train", "validation", "test")}, "validation").select("row_id", "question")
+
+
+@query
+def vector_store(s: SparkSession, d: str) -> DataFrame:
+    """Vectors added to a store twice, read through a store opened anew."""
+    v = table(s, d, "vectors").where("size(embedding) = 64").select("id", "document", "metadata", "embedding", "vec_id")
+    at = fresh(s)
+    store = knn.VectorStore(s, at, "test", 64)
+    store.add(v.where("vec_id % 3 > 0"))
+    store.add(v)
+    return knn.VectorStore(s, at, "test", 64).all().select("id", "document", "metadata")
+
+
+@query
+def memory_store(s: SparkSession, d: str) -> DataFrame:
+    """The items' texts added to a collection in two calls."""
+    store = knn.MemoryStore(s, "Book", providers.HashingEmbedder())
+    x = table(s, d, "eval_items").select("item_id", "text", "split")
+    for part in ("item_id <= 100", "item_id > 100"):
+        store.add_texts(x.where(part), "text", ["item_id"], "split")
+    return store.rows.select("id", "document", "metadata")
+
+
+@query
+def adapter_files(s: SparkSession, d: str) -> DataFrame:
+    """The mean vectors of the labels as an adapter's rows, saved and loaded."""
+    e = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("j", "x"))
+    m = e.groupBy("label", "j").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("label", "j").collect()  # labels x dimensions
+    rows: dict[int, list[float]] = {}
+    for r in m:
+        rows.setdefault(r.label, []).append(r.x)
+    at = fresh(s)
+    sinks.save_adapter(s, at, [rows[k] for k in sorted(rows)], [float(k) for k in sorted(rows)], dim=64)
+    w, b, params = sinks.load_adapter(s, at)
+    out = s.createDataFrame([(i, j, float(y), b[i], params["dim"]) for i, x in enumerate(w) for j, y in enumerate(x)], "i int, j int, w double, b double, dim int")
+    return out.withColumn("w", F.round("w", 6))
 
 
 # --- beyond: lexical retrieval, streams ------------------------------------------------------------------------
@@ -415,7 +534,7 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     """Hourly counts of the events as a stream; the last windows stay open until later events come."""
     schema = table(s, d, "events").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    at = f"{scratch_dir(s)}/daftar-{uuid.uuid4().hex}"
+    at = fresh(s)
     q = ingest.write_once(ingest.windowed_counts(stream, "ts", "event_type", "value"), f"{at}/data", f"{at}/state")
     q.awaitTermination()
     return s.read.schema("window_start timestamp, event_type string, n long, total double").parquet(f"{at}/data")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,16 @@ def build_session(app: str = "daftar", master: str | None = None, **conf: str) -
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) one of this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Folder all executors share: spark.checkpoint.dir of the session.
+
+    Only a local master (tests) may go without; then it is a folder of this machine, removed at exit.  On a cluster
+    an unset folder is an error, as executors would write to their own disks.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     known = getattr(spark.sparkContext, "_daftar_scratch", None)
     if known is None:
         own = tempfile.mkdtemp(prefix="daftar-")
@@ -38,10 +45,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return known
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder below the scratch folder."""
+    return f"{scratch_dir(spark)}/daftar-{spark.sparkContext.applicationId}"
+
+
+def fresh(spark: SparkSession) -> str:
+    """A new path below this application's folder; the folder goes when the process ends, if not released before."""
+    if not getattr(spark.sparkContext, "_daftar_release", False):
+        spark.sparkContext._daftar_release = True
+        atexit.register(_delete, own_folder(spark), spark._jvm, spark._jsc.hadoopConfiguration())
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _delete(path: str, jvm, conf) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone; then the folder stays
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` wrote in this application; frames read from them cannot be used any more."""
+    _delete(own_folder(spark), spark._jvm, spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the scratch folder and read it back: ends the lineage, survives the loss of executors."""
     spark = df.sparkSession
-    at = f"{scratch_dir(spark)}/daftar-{uuid.uuid4().hex}"
+    at = fresh(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -76,7 +76,26 @@ def read_scans(spark: SparkSession, path: str, extractor: Extractor = plain_extr
 
 
 def page_marked(pages: Column | str) -> Column:
-    """"Total pages: n", then for each page an empty line, "Page number: i" and its lines."""
+    """"Total pages: n", then for each page an empty line, "Page number: i", an empty line and its lines, of one document."""
     p = F.col(pages) if isinstance(pages, str) else pages
-    blocks = F.transform(p, lambda x: F.concat(F.array(F.concat(F.lit("\nPage number: "), x["page_number"].cast("string"))), F.transform(x["lines"], lambda y: y["content"])))
+    blocks = F.transform(p, lambda x: F.concat(F.array(F.concat(F.lit("\nPage number: "), x["page_number"].cast("string"), F.lit("\n"))), F.transform(x["lines"], lambda y: y["content"])))
     return F.array_join(F.concat(F.array(F.concat(F.lit("Total pages: "), F.size(p).cast("string"))), F.flatten(blocks)), "\n")
+
+
+def page_marked_lines(pages: DataFrame, text: str = "page_content") -> DataFrame:
+    """The same for texts of any number of pages, as rows: source, page_number, row_no, line_no, line.
+
+    pages: source, page_number, row_no (tells pages of one number apart) and their text.  The order of a source's file
+    is (page_number, row_no, line_no); its first line has page_number and row_no null, which sort first.
+    """
+    body = F.concat(F.array(F.lit(""), F.concat(F.lit("Page number: "), F.col("page_number").cast("string")), F.lit("")), F.split(text, "\n", -1))
+    lines = pages.select("source", "page_number", "row_no", F.posexplode(body).alias("line_no", "line"))
+    total = pages.groupBy("source").agg(F.count("*").alias("n"))
+    head = total.select("source", F.lit(None).cast(pages.schema["page_number"].dataType).alias("page_number"), F.lit(None).cast(pages.schema["row_no"].dataType).alias("row_no"), F.lit(0).alias("line_no"), F.concat(F.lit("Total pages: "), F.col("n").cast("string")).alias("line"))
+    return head.union(lines)
+
+
+def page_lines(scans: DataFrame) -> DataFrame:
+    """source, page_number, line_no (from 1), line of scanned documents with their pages (OCR_SCHEMA)."""
+    p = scans.select("source", F.explode("pages").alias("p"))
+    return p.select("source", F.col("p.page_number").alias("page_number"), F.posexplode("p.lines").alias("_i", "_l")).select("source", "page_number", (F.col("_i") + 1).alias("line_no"), F.col("_l.content").alias("line"))

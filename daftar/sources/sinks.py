@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with header in a directory; one file only where asked (all rows pass one task)."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    """CSV with header in a directory, white space as it is; one file only where asked (all rows pass one task)."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_texts(df: DataFrame, column: str, path: str) -> None:

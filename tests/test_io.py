@@ -30,7 +30,7 @@ def test_scans_and_page_marks(spark, tmp_path):
     (tmp_path / "s.bin").write_bytes("one\ntwo\fthree".encode())
     d = readers.read_scans(spark, str(tmp_path / "s.bin"))
     text = d.select(readers.page_marked("pages").alias("t"))
-    assert text.first().t == "Total pages: 2\n\nPage number: 1\none\ntwo\n\nPage number: 2\nthree"
+    assert text.first().t == "Total pages: 2\n\nPage number: 1\n\none\ntwo\n\nPage number: 2\n\nthree"
     sinks.write_texts(text, "t", str(tmp_path / "out"))
     assert readers.text_documents(spark, str(tmp_path / "out")).where("page_content like '%three%'").count() == 1
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,78 @@ def test_marker_split(spark, size, overlap):
     assert spark.createDataFrame([(None,)], "t string").select(chunking.marker_split("t", "P", 9)).first()[0] is None
 
 
+def test_token_chunks_at_finer_separators():
+    t = "a b c\n\n" + "d e f g h i\nj k" + "\n\n" + "x" * 25
+    c = chunking.token_chunks(t, 4, 0, chunking.words)
+    assert c == ["a b c", "d e f g", "h i", "j k", "x" * 25]
+    c = chunking.token_chunks(t, 6, 0, len)
+    assert all(len(x) <= 6 for x in c) and "".join(c).replace("\n", "").replace(" ", "") == t.replace("\n", "").replace(" ", "")
+    count = chunking.TokenCounter()
+    text = "قانون العمل الموحد في المادة ١٢ من النظام " * 60
+    some = chunking.token_chunks(text, 100, 20, count)
+    assert len(some) > 5 and all(count(x) <= 110 for x in some)
+    assert all(a.split()[-1] in b.split()[:8] for a, b in zip(some, some[1:]))
+
+
+def test_process_documents_numbers_over_all(spark):
+    docs = spark.createDataFrame([(2, "/a/x_y.txt", "المادة 12 " * 30), (1, None, "قانون (law) العمل"), (3, "s", None), (4, "s", "")], "doc_id long, source string, page_content string")
+    got = [(r.doc_id, r.source, r.chunk_id) for r in chunking.process_documents(docs.repartition(3), ["doc_id"], 20, 5, chunking.words).orderBy("chunk_id").collect()]
+    assert got[0] == (1, None, 1) and {x[:2] for x in got[1:]} == {(2, "x y")} and [x[2] for x in got] == list(range(1, len(got) + 1))
+
+
+def test_index_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"نص رقم {i}") for i in range(200)] + [(200, None, "بلا مصدر")], "k long, source string, page_content string")
+    e = providers.HashingEmbedder(8)
+    a, b = ({r.id: (r.document, r.metadata) for r in pipelines.build_index(docs.repartition(n), e, ["k"]).collect()} for n in (1, 7))
+    assert a == b and len(a) == 201 and '"source"' not in a["chunk_200"][1]
+
+
+def test_knn_with_string_ids_and_large_numbers(spark):
+    rows = [(f"r{i}", [float(1e8 + i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "i string, embedding array<double>")
+    got = [(r.query_id, r.id, r.distance) for r in knn.knn_join(df.where("i = 'r5'"), df, "i", "i", k=2, metric="l2", exclude_self=True).orderBy("rank").collect()]
+    assert got == [("r5", "r4", 1.0), ("r5", "r6", 1.0)]
+    assert knn.knn_join(df.limit(0), df, "i", "i").count() == 0 == knn.knn_join(df, df.limit(0), "i", "i").count()
+
+
+def test_memory_store(spark):
+    store = knn.MemoryStore(spark, "Book", providers.HashingEmbedder(16))
+    store.add_texts(spark.createDataFrame([(2, "عقد البيع"), (1, "قانون العمل"), (3, None)], "n long, t string"), "t", ["n"])
+    store.add_texts(spark.createDataFrame([(9, "سند")], "n long, t string"), "t", ["n"])
+    assert [(r.id, r.document) for r in store.rows.orderBy("id").collect()] == [("chunk_0", "قانون العمل"), ("chunk_1", "عقد البيع"), ("chunk_2", "سند")]
+    assert store.query(spark.createDataFrame([(1, "عقد البيع")], "q long, t string"), "q", "t", 1).first().id == "chunk_1"
+
+
+def test_serving_shows_errors_as_rows(spark):
+    e = providers.HashingEmbedder(16)
+    store = pipelines.build_index(spark.createDataFrame([("a", "قانون العمل")], "source string, page_content string"), e, ["source"])
+    q = spark.createDataFrame([(1, "قانون العمل"), (2, "fail")], "query_id long, question string")
+
+    def model(prompt, **options):
+        assert options == {"temperature": 0.7}
+        if "fail" in prompt:
+            raise RuntimeError("503")
+        return "ok"
+
+    from unittest import mock
+
+    with mock.patch.object(providers.generate, "__defaults__", (None, "response", 2, lambda s: None, 0.7, None)):
+        a = {r.query_id: r for r in pipelines.serve(q, store, e, [model]).collect()}
+        h = {r.query_id: r for r in pipelines.serve_by_hypothesis(q, store, e, [model]).collect()}
+    assert a[1].answer == "ok" and a[1].documents.startswith("**Document 1:**") and a[2].answer == "An error occurred: 503"
+    assert h[1].answer == "ok" and h[1].metadatas.startswith("Metadata 1:") and (h[2].answer, h[2].documents, h[2].metadatas) == ("An error occurred: 503", "", "")
+
+
+
+
+def test_page_marked_lines(spark):
+    from daftar.sources import readers
+
+    p = spark.createDataFrame([("s", 2, 7, "c"), ("s", 1, 9, "a\nb")], "source string, page_number long, row_no long, page_content string")
+    got = [r.line for r in readers.page_marked_lines(p).orderBy("page_number", "row_no", "line_no").collect()]
+    assert got == ["Total pages: 2", "", "Page number: 1", "", "a", "b", "", "Page number: 2", "", "c"]
+
+
 def test_token_chunks():
     t = " ".join(map(str, range(100)))
     c = chunking.token_chunks(t, 30, 10, chunking.words)
@@ -84,7 +157,9 @@ def test_metrics(spark, truth, k, hr, rr):
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_knn_equals_brute_force(spark, metric, monkeypatch):
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "QUERY_BYTES", 7 * 40)
+    monkeypatch.setattr(knn, "BASE_ROWS", 9)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 3)
     rng = np.random.default_rng(1)
     x = rng.integers(-2, 3, (80, 5)).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 5)], "i long, embedding array<double>")
@@ -121,8 +196,9 @@ def test_numbering_and_sampling(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     p = numbering.by_hash(df, ["k"], "s").toPandas()
     assert sorted(p.position) == list(range(1, 1001))
-    o = numbering.by_order(df, (F.col("k") / 100).cast("int"), ["k"]).toPandas()
+    o = numbering.by_order(df.withColumn("one", F.lit(1)), ["one", "k"]).toPandas()
     assert (o.position == o.k + 1).all()
+    assert numbering.by_order(df.limit(0), ["k"]).count() == 0
     assert sampling.train_test_split(df, "k").where("is_test").count() == 200
     b = sampling.batches(df, "k", 32).toPandas().batch.value_counts()
     assert (b == 32).sum() == 31 and b.sum() == 1000
@@ -148,8 +224,11 @@ def test_adapter_learns(spark):
     w, b, losses = adapter.train_local(t, epochs=15, lr=0.02, warmup=5)
     assert losses[-1] < 0.7 * losses[0]
     df = spark.createDataFrame([(q.tolist(), x.tolist(), n.tolist()) for q, x, n in t.itertuples(index=False)], "query array<double>, positive array<double>, negative array<double>")
-    w, b, losses = adapter.train_distributed(df, 4, steps=6, lr=0.05, warmup=1)
-    assert losses[-1] < losses[0]
+    df = df.withColumn("k", F.monotonically_increasing_id())
+    for block in (1000, 50):  # one block, and three whose states are averaged
+        w, b, losses = adapter.train(df, 4, "k", block, adapter.Settings(epochs=15, lr=0.02, warmup=5))
+        assert len(losses) == 15 and losses[-1] < 0.75 * losses[0]
+    assert adapter.train(df.limit(0), 4, "k")[2] == []
     one = adapter.apply(spark.createDataFrame([([1.0, 0.0, 0.0, 0.0],), (None,)], "v array<double>"), "v", w, b).collect()
     assert np.allclose(one[0].adapted, w[:, 0] + b, atol=1e-5) and one[1].adapted is None
 
@@ -177,16 +256,18 @@ def test_retry():
         return call
 
     waits = []
-    assert providers.with_retry([model(0, ["429"]), model(1, ["503 gone"])], "p", wait=waits.append) == ("1:p", 3, None)
+    assert providers.with_retry([model(0, ["429"]), model(1, ["503 gone"])], "p", wait=waits.append) == ("1:p", 3, None, 1)
     assert calls == [0, 1, 1] and waits == [2, 5]
-    answer, n, error = providers.with_retry([model(0, ["x"] * 9)], "p", attempts=3)
-    assert answer is None and n == 3 and error == "x"
+    waits.clear()
+    answer, n, error, _ = providers.with_retry([model(0, ["x"] * 9)], "p", attempts=3, wait=waits.append)
+    assert answer is None and n == 3 and error == "x" and waits == [2, 2]
+    assert providers.with_retry.__defaults__[1] is time.sleep
 
 
 def test_pipelines(spark):
     e = providers.HashingEmbedder(32)
     docs = spark.createDataFrame([("/a/x_1.txt", "Page number: 1\nقانون العمل\nPage number: 2\nعقد البيع"), ("/a/y.txt", None)], "source string, page_content string")
-    store = pipelines.build_index(docs, e, size=20)
+    store = pipelines.build_index(docs, e, ["source"], size=20)
     rows = store.orderBy("id").collect()
     assert [r.id for r in rows] == ["chunk_0", "chunk_1"] and rows[0].document == "قانون العمل"
     q = spark.createDataFrame([(1, "عقد البيع"), (2, "قانون العمل")], "query_id long, question string")
