@@ -65,10 +65,6 @@ class LLM(Protocol):
     def __call__(self, prompt: str, **options) -> str: ...
 
 
-#: Fixed value: the temperature the pipelines ask for.
-TEMPERATURE = 0.7
-
-
 def echo_llm(prompt: str, temperature: float | None = None, max_tokens: int | None = None) -> str:
     """Stand-in: the last line of the prompt that is not blank, its first max_tokens words."""
     lines = [x for x in prompt.splitlines() if x.strip()]
@@ -100,10 +96,11 @@ def with_retry(models: list[LLM], prompt: str, attempts: int = 5, wait: Callable
     return None, attempts, error, at
 
 
-def generate(df: DataFrame, prompt: str, models: list[LLM] | None = None, name: str = "response", attempts: int = 5, wait: Callable[[float], None] = time.sleep, temperature: float | None = TEMPERATURE, max_tokens: int | None = None) -> DataFrame:
+def generate(df: DataFrame, prompt: str, models: list[LLM] | None = None, name: str = "response", attempts: int = 5, wait: Callable[[float], None] = time.sleep, temperature: float | None = None, max_tokens: int | None = None) -> DataFrame:
     """df with the model's response to a prompt column, attempts and error; a failed call is a row with its error.
 
-    A task stays with the model that worked last.  Null prompts are not asked.
+    A task stays with the model that worked last.  Null prompts are not asked.  A model is passed only the options that
+    are set, so any function of a prompt will do without them (the reference asks for temperature 0.7).
     """
     models = models or [echo_llm]
     options = {k: v for k, v in (("temperature", temperature), ("max_tokens", max_tokens)) if v is not None}

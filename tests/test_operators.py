@@ -93,14 +93,14 @@ def test_serving_shows_errors_as_rows(spark):
     q = spark.createDataFrame([(1, "قانون العمل"), (2, "fail")], "query_id long, question string")
 
     def model(prompt, **options):
-        assert options == {"temperature": 0.7}
+        assert options == {}
         if "fail" in prompt:
             raise RuntimeError("503")
         return "ok"
 
     from unittest import mock
 
-    with mock.patch.object(providers.generate, "__defaults__", (None, "response", 2, lambda s: None, 0.7, None)):
+    with mock.patch.object(providers.generate, "__defaults__", (None, "response", 2, lambda s: None, None, None)):
         a = {r.query_id: r for r in pipelines.serve(q, store, e, [model]).collect()}
         h = {r.query_id: r for r in pipelines.serve_by_hypothesis(q, store, e, [model]).collect()}
     assert a[1].answer == "ok" and a[1].documents.startswith("**Document 1:**") and a[2].answer == "An error occurred: 503"
@@ -243,6 +243,12 @@ def test_gradient():
     assert abs((up - down) / 2e-6 - gw[1, 2]) < 1e-4
 
 
+def test_models_get_the_options_that_are_set(spark):
+    df = spark.createDataFrame([("a b c",)], "p string")
+    assert providers.generate(df, "p", max_tokens=2, temperature=0.7).first().response == "a b"
+    assert providers.generate(df, "p", [lambda p: p.upper()]).first().response == "A B C"
+
+
 def test_retry():
     calls = []
 
