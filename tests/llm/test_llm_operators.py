@@ -139,7 +139,7 @@ def test_overlap_ignores_forms(spark):
 
 
 def test_neighbours_recall_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(vector_neighbors, "CELL", 150)
+    monkeypatch.setattr(vector_neighbors, "PER_CELL", 40)
     monkeypatch.setattr(vector_neighbors, "BLOCK", 100)
     monkeypatch.setattr(vector_neighbors, "QUERY_BLOCK", 300)
     rng = np.random.default_rng(3)
@@ -168,6 +168,39 @@ def test_neighbours_recall_and_copies(spark, monkeypatch):
     assert not set(got) & {5000, 5001, 5002, 5003}
 
 
+def test_packed_products_estimate_the_exact_ones():
+    """The bit counts agree with the unpacked signs, and the bound holds as often as it promises."""
+    rng = np.random.default_rng(4)
+    x = vector_neighbors.unit(pd.Series(list(rng.standard_normal((600, 64)) + 2 * rng.standard_normal(64))))
+    c, rot = x[:500].mean(0, keepdims=True), vector_neighbors.rotation(64)
+    codes, scalars = vector_neighbors.coded(x[:500], c, np.zeros(500, int), rot)
+    cell = vector_neighbors.Cell(x[:500], np.arange(500), codes, scalars, c[0], rot)
+    e = (x[500:] - c[0]) @ rot
+    sums, low, error = cell._products(e)
+    signs = np.where((x[:500] - c[0]) @ rot > 0, 1.0, -1.0)
+    got = 2 * (sums + low[:, None] * np.bitwise_count(codes).sum(1)) - e.sum(1)[:, None]
+    assert (np.abs(got - e @ signs.T) <= error[:, None]).mean() > 0.99
+    estimate = got * scalars[:, 0]
+    exact = e @ ((x[:500] - c[0]) @ rot).T
+    bound = scalars[:, 2] * np.sqrt((e * e).sum(1))[:, None] + error[:, None] * scalars[:, 0]
+    assert (np.abs(estimate - exact) <= bound).mean() > 0.99
+
+
+def test_isotropic_vectors_visit_enough_cells(spark, monkeypatch):
+    """Without clusters the calibration visits many cells; recall stays."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in vector_neighbors.neighbours(df).collect():
+        got[r.vec_id].add(r.neighbour_id)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u[:300] @ u.T
+    s[np.arange(300), np.arange(300)] = -9
+    want = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(got[i] & set(want[i].tolist())) for i in range(300)) >= 0.97 * 3000
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
