@@ -11,8 +11,12 @@ character of the assumed one.  Two rounds of EM:
 2. For single-byte swaps, and for documents of mostly strange letters that no key explains (unknown swaps), the
    mapping itself is learned per source and swap (ciphers.learn): emissions of characters by letters, started from
    the key's table, or from letter frequencies where there is none, are fitted to all pairs of characters of the
-   source's suspicious words.  The learned tables are what translate() applies.  Of unknown swaps only documents
-   whose words become likelier by as much count as garbled.
+   source's suspicious words.  The learned tables are what translate() applies, and what decides: a document counts as
+   garbled if the learned letters make its words likelier by as much.
+
+Correct text of another language also becomes likelier under some key.  So the restored words must read as the
+corpus does: with their neighbours (NEAR words on both sides, as they are), their mean log-likelihood per pair of
+letters may lie at most SLACK, and what chance makes of so few letters, below the mean of all ordinary text.
 
 UTF-8 keys have nothing to learn: the sequences are decoded.
 
@@ -55,6 +59,8 @@ SURE = 0.5
 MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.5
 #: Share of words with letters of two scripts that a restored text may have.
 MIXED_WORDS = 0.2
+#: Words around a restored one that are read with it; nats a letter that it may read worse than ordinary text.
+NEAR, SLACK = 2, 0.8
 BLOCK = 1000
 
 # Code pages a text may have been read with, and single-byte ones it may truly be in.
@@ -269,6 +275,34 @@ def likelihood(lm: np.ndarray, text: str) -> float:
     return _sum(lm, _symbols()[np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)])
 
 
+@functools.cache
+def _stationary(lm_bytes: bytes) -> tuple[float, float]:
+    lm = np.frombuffer(lm_bytes, np.float32).reshape(size(), size())
+    p = np.exp(lm.astype(np.float64))
+    p /= p.sum(1, keepdims=True)
+    own = np.full(len(p), 1 / len(p))
+    for _ in range(50):
+        own = own @ p
+    joint = own[:, None] * p
+    mean = float((joint * lm).sum())
+    return mean, float(np.sqrt((joint * (lm - mean) ** 2).sum()))
+
+
+class Reader:
+    """Whether restored words read, among their neighbours, like the text the bigrams were counted on."""
+
+    def __init__(self, lm: np.ndarray):
+        self.lm = lm
+        self.mean, self.deviation = _stationary(np.ascontiguousarray(lm, np.float32).tobytes())
+
+    def holds(self, parts: list[str], at: list[int], back) -> bool:
+        flagged, n = set(at), len(parts)
+        near = sorted({j for i in at for j in range(max(0, i - 2 * NEAR), min(n, i + 2 * NEAR + 1), 2)})
+        text = " ".join(back(parts[j]) if j in flagged else parts[j] for j in near)
+        pairs = len(text) + 1
+        return likelihood(self.lm, text) / pairs >= self.mean - SLACK - 2 * self.deviation / math.sqrt(pairs)
+
+
 _ARABIC, _LATIN = re.compile("[\u0620-\u064a]"), re.compile("[a-zA-Z]")
 
 
@@ -292,6 +326,7 @@ def words(text: str) -> tuple[list[str], list[int]]:
 
 def _suspects(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFrame]:
     """E step without shares: gains of all keys that may fit."""
+    reader = Reader(lm)
     for pdf in batches:
         for i in range(0, len(pdf), BLOCK):
             p = pdf.iloc[i : i + BLOCK]
@@ -319,7 +354,7 @@ def _suspects(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.Da
                         back = key.symbols(codes16)
                         if back is not None:
                             g = _sum(lm, back) - base
-                            if g > 0 and (key.true == "utf_8" or _words_hold(key.restore(some))):
+                            if g > 0 and (key.true == "utf_8" or _words_hold(key.restore(some)) and reader.holds(parts, at, key.restore)):
                                 best[k] = g
                 letters = sum(map(len, (parts[j] for j in at))) if at and not best else 0
                 strange_letters = int(_strange(np.frombuffer(some.encode("utf-32-le", "surrogatepass"), np.uint32)).sum()) if letters else 0
@@ -367,7 +402,8 @@ def judged(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     known = swaps.join(F.broadcast(learned) if small(learned, 10_000) else learned, ["source", "swap"])
     judged = known.mapInPandas(lambda b: _fits(b, shared.value), "doc_id long, cipher map<int,string>, better boolean")
     j = j.join(judged, "doc_id", "left")
-    return j.where("not unknown or better").drop("unknown", "better"), lm
+    swapped = F.col("unknown") | F.coalesce(F.col("key").isin(single), F.lit(False))
+    return j.where(~swapped | F.col("better") | F.col("lost")).drop("unknown", "better"), lm
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,8 +432,8 @@ def _learn(group: tuple, pdf: pd.DataFrame, lm: np.ndarray) -> pd.DataFrame:
     """The cipher of one source and swap: code point -> character."""
     chars = sorted(set(pdf.a) | set(pdf.b))
     at = {c: i for i, c in enumerate(chars)}
-    n = np.zeros((len(chars), len(chars)))
-    n[[at[c] for c in pdf.a], [at[c] for c in pdf.b]] = pdf.n
+    i, j, n = np.array([at[c] for c in pdf.a]), np.array([at[c] for c in pdf.b]), pdf.n.to_numpy(np.float64)
+    often = np.bincount(i, n, len(chars)) + np.bincount(j, n, len(chars))
     # the stationary distribution of the bigrams gives the letters' own shares
     p = np.exp(lm.astype(np.float64))
     p /= p.sum(1, keepdims=True)
@@ -409,21 +445,18 @@ def _learn(group: tuple, pdf: pd.DataFrame, lm: np.ndarray) -> pd.DataFrame:
     first = np.zeros_like(allowed)
     arabic = np.array([bool(x) and not x.isascii() or x in " .,:;!?-" for x in names])
     key = keys()[group[1]] if group[1] >= 0 else None
-    for i, c in enumerate(chars):
+    for x, c in enumerate(chars):
         own = int(_symbols()[c])
         if c < 128 and own:
-            allowed[own, i] = first[own, i] = 1.0
+            allowed[own, x] = first[own, x] = 1.0
             continue
-        allowed[arabic, i] = 1.0
+        allowed[arabic, x] = 1.0
         to = key.table.get(c, chr(c)) if key else None
         if to is not None and (k := int(_symbols()[ord(to)])):
-            allowed[k, i] = 1.0
-            first[k, i] = 1.0
-    if key:
-        first = first * (n.sum(0) + n.sum(1))[None, :] + 1e-3 * allowed
-    else:
-        first = np.where(first > 0, first, 0) * (n.sum(0) + n.sum(1))[None, :] + ciphers.by_rank(n, single, allowed)
-    post = ciphers.learn(n, single[:, None] * p, allowed, first)
+            allowed[k, x] = 1.0
+            first[k, x] = 1.0
+    first = first * often[None, :] + (1e-3 * allowed if key else ciphers.by_rank(often, single, allowed))
+    post = ciphers.learn(i, j, n, single[:, None] * p, allowed, first)
     out = {}
     for i, c in enumerate(chars):
         if c > 127:
@@ -437,6 +470,7 @@ def _learn(group: tuple, pdf: pd.DataFrame, lm: np.ndarray) -> pd.DataFrame:
 
 
 def _fits(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFrame]:
+    reader = Reader(lm)
     for pdf in batches:
         out = []
         for doc, text, cipher in zip(pdf.doc_id, pdf.text, pdf.cipher):
@@ -445,7 +479,7 @@ def _fits(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFr
             some = " ".join(parts[i] for i in at)
             back = some.translate(cipher)
             gain = likelihood(lm, back) - likelihood(lm, some)
-            out.append((doc, cipher, bool(gain >= GAIN and gain >= WORD_GAIN * min(20, len(at)) and _words_hold(back))))
+            out.append((doc, cipher, bool(gain >= GAIN and gain >= WORD_GAIN * min(20, len(at)) and _words_hold(back) and reader.holds(parts, at, lambda w: w.translate(cipher)))))
         yield pd.DataFrame(out, columns=["doc_id", "cipher", "better"])
 
 
