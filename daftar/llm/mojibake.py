@@ -59,6 +59,8 @@ SURE = 0.5
 MIN_LETTERS, MIXED, FIT = 4, -25.0, 0.5
 #: Share of words with letters of two scripts that a restored text may have.
 MIXED_WORDS = 0.2
+#: Share of the characters of an unknown swap that must have a letter of their own.
+ONE_TO_ONE = 0.6
 #: Words around a restored one that are read with it; nats a letter that it may read worse than ordinary text.
 NEAR, SLACK = 2, 0.8
 BLOCK = 1000
@@ -295,12 +297,19 @@ class Reader:
         self.lm = lm
         self.mean, self.deviation = _stationary(np.ascontiguousarray(lm, np.float32).tobytes())
 
-    def holds(self, parts: list[str], at: list[int], back) -> bool:
+    def around(self, parts: list[str], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the strange words and their neighbours, and which belong to the strange ones."""
         flagged, n = set(at), len(parts)
         near = sorted({j for i in at for j in range(max(0, i - 2 * NEAR), min(n, i + 2 * NEAR + 1), 2)})
-        text = " ".join(back(parts[j]) if j in flagged else parts[j] for j in near)
-        pairs = len(text) + 1
-        return likelihood(self.lm, text) / pairs >= self.mean - SLACK - 2 * self.deviation / math.sqrt(pairs)
+        text = " " + " ".join(parts[j] for j in near) + " "
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+        own = np.repeat([j in flagged for j in near], [len(parts[j]) + 1 for j in near])
+        return codes, np.r_[False, own]
+
+    def holds(self, codes: np.ndarray, own: np.ndarray, symbols: np.ndarray) -> bool:
+        """symbols: of the code points, after the swap."""
+        pairs = len(codes) - 1
+        return _sum(self.lm, np.where(own, symbols[codes], _symbols()[codes])) / pairs >= self.mean - SLACK - 2 * self.deviation / math.sqrt(pairs)
 
 
 _ARABIC, _LATIN = re.compile("[\u0620-\u064a]"), re.compile("[a-zA-Z]")
@@ -343,7 +352,7 @@ def _suspects(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.Da
                 lost = bool("�" in text or _C1.search(text) or "?" in text and _LOST.search(text))
                 parts, at = words(text)
                 some = " ".join(parts[j] for j in at)
-                best = {}
+                best, around = {}, None
                 if some:
                     codes16 = np.minimum(np.frombuffer((" " + some + " ").encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
                     base = _sum(lm, _symbols()[codes16])
@@ -354,7 +363,7 @@ def _suspects(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.Da
                         back = key.symbols(codes16)
                         if back is not None:
                             g = _sum(lm, back) - base
-                            if g > 0 and (key.true == "utf_8" or _words_hold(key.restore(some)) and reader.holds(parts, at, key.restore)):
+                            if g > 0 and (key.true == "utf_8" or reader.holds(*(around := around or reader.around(parts, at)), key.symbol) and _words_hold(key.restore(some))):
                                 best[k] = g
                 letters = sum(map(len, (parts[j] for j in at))) if at and not best else 0
                 strange_letters = int(_strange(np.frombuffer(some.encode("utf-32-le", "surrogatepass"), np.uint32)).sum()) if letters else 0
@@ -466,9 +475,25 @@ def _learn(group: tuple, pdf: pd.DataFrame, lm: np.ndarray) -> pd.DataFrame:
                 out[c] = to  # the table's own character, also where the bigrams do not know it
             elif post[k, i] >= SURE and names[k]:
                 out[c] = names[k]
+    if not key and out:
+        # a code page gives each letter one character; where many share a letter, there is no swap to learn
+        weight = {c: often[at[c]] for c in out}
+        best: dict = {}
+        for c, x in out.items():
+            best[x] = max(best.get(x, 0.0), weight[c])
+        if sum(best.values()) < ONE_TO_ONE * sum(weight.values()):
+            out = {}
     return pd.DataFrame({"source": [group[0]], "swap": [group[1]], "cipher": [out]})
 
 
+def _swapped(cipher: dict) -> np.ndarray:
+    out = _symbols()[:0x10000].copy()
+    for c, x in cipher.items():
+        if c < 0x10000:
+            out[c] = _symbols()[ord(x[0])]
+    return out
+
+
 def _fits(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFrame]:
     reader = Reader(lm)
     for pdf in batches:
@@ -479,7 +504,7 @@ def _fits(batches: Iterator[pd.DataFrame], lm: np.ndarray) -> Iterator[pd.DataFr
             some = " ".join(parts[i] for i in at)
             back = some.translate(cipher)
             gain = likelihood(lm, back) - likelihood(lm, some)
-            out.append((doc, cipher, bool(gain >= GAIN and gain >= WORD_GAIN * min(20, len(at)) and _words_hold(back) and reader.holds(parts, at, lambda w: w.translate(cipher)))))
+            out.append((doc, cipher, bool(gain >= GAIN and gain >= WORD_GAIN * min(20, len(at)) and _words_hold(back) and reader.holds(*reader.around(parts, at), _swapped(cipher)))))
         yield pd.DataFrame(out, columns=["doc_id", "cipher", "better"])
 
 
