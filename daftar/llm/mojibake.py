@@ -62,7 +62,7 @@ MIXED_WORDS = 0.2
 #: Share of the characters of an unknown swap that must have a letter of their own.
 ONE_TO_ONE = 0.6
 #: Words around a restored one that are read with it; nats a letter that it may read worse than ordinary text.
-NEAR, SLACK = 2, 0.8
+NEAR, SLACK = 2, 0.5
 BLOCK = 1000
 
 # Code pages a text may have been read with, and single-byte ones it may truly be in.
