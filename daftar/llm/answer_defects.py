@@ -2,10 +2,13 @@
 
 Method, in this order, the first that fits:
   empty      null, or nothing but blanks, marks or a placeholder.
-  refusal    an Aho-Corasick automaton of refusal phrases finds one and little else is said (REFUSAL_REST words).
-  copy       the answer is traversed through a suffix automaton of the question's words; all words lie in copied runs
-             of at least RUN words, but for words of a fixed list that introduce an answer.
-  language   stopwords and scripts vote for the language of question and answer, and the votes differ.
+  refusal    an Aho-Corasick automaton of refusal phrases in several languages finds one and little else is said
+             (REFUSAL_REST words); a phrase in the first person counts only near the beginning (LEAD words before it,
+             apologies aside), so that a text that quotes one is no refusal.
+  copy       the answer is traversed through a suffix automaton of the question's words, which gives the share of its
+             words that lie in copied runs of at least RUN words; what is not copied are words of a fixed list that
+             introduce an answer, or at most LEAD words before a run that has most of the question (WHOLE).
+  language   scripts and stopwords vote for the language of question and answer, and the votes differ.
   truncated  a stack of delimiters is not empty at the end, or a list marker without item, a comma, a hyphen or an
              ellipsis ends the answer; or there is no closing mark and the last words do not end sentences: of all
              occurrences of the last two words in the contexts of all rows (of the last word, where those are rare)
@@ -34,7 +37,7 @@ from daftar.llm.codes import Words, mix, table
 from daftar.session import cut
 
 RUN = 3
-REFUSAL_REST = 14
+REFUSAL_REST, LEAD, WHOLE = 14, 3, 0.8
 END_SHARE, SEEN = 0.01, 20
 BLOCK = 1000
 
@@ -49,13 +52,39 @@ REFUSALS = [
     "je ne peux pas", "je ne puis", "il m est impossible", "je prefere ne pas", "je ne suis pas en mesure", "ne contient pas la reponse", "aucune reponse n est disponible", "je dois decliner", "je dois refuser", "je n ai pas assez", "je n ai pas suffisamment", "je ne dispose pas", "en tant qu assistant",
     "depasse ce dont je peux", "hors de ce dont je peux", "je regrette de ne pouvoir", "je refuse de", "je m abstiens",
 ]
+# More phrases, in the first person or of what the text lacks, also in further languages.
+REFUSALS += [
+    "لا اعرف", "لا اعلم", "لا ادري", "لا استطيع ان", "لا اقدر", "ليس عندي", "لا تتوفر معلومات", "لا توجد معلومات", "لم يرد في النص", "لا يذكر النص", "لا يتضمن النص", "السياق لا يتضمن",
+    "i have no information", "i don t know", "i do not know", "i have no answer", "i can t assist", "i cannot assist", "i m not sure", "i am not sure", "there is not enough information", "the text does not say", "the context does not",
+    "je ne sais pas", "je n ai aucune information", "je n ai pas d information", "je ne connais pas", "le texte ne dit pas", "le contexte ne",
+    "no puedo responder", "no puedo ayudar", "no puedo contestar", "no lo se", "no tengo informacion", "lo siento no", "ich kann nicht", "kann ich nicht", "ich weiß nicht", "ich weiss nicht", "keine informationen", "tut mir leid",
+    "non posso rispondere", "non posso aiutare", "non lo so", "não posso responder", "nao posso responder", "não sei", "nao sei", "bilmiyorum", "yanıt veremem", "cevap veremem", "yardımcı olamam",
+    "не могу ответить", "не могу помочь", "я не знаю", "нет информации", "نمي توانم", "نميتوانم", "نمي دانم", "نميدانم", "متاسفم",
+]
+#: Beginnings of phrases in the first person.
+FIRST_PERSON = ("i ", "je ", "لا استطيع", "لا اعرف", "لا اعلم", "لا ادري", "لا اقدر", "لا املك", "ليس عندي", "ليس لدي", "لست", "ich ", "no puedo", "no lo se", "non posso", "non lo so", "não ", "nao ", "я ", "не могу")
+#: Words of apology and address that may stand before a refusal.
+APOLOGY = "sorry i m am afraid but unfortunately regret apologise apologize we to say that thank you for the your question عذرا اسف اعتذر للاسف معذره نعتذر مع الاسف لكن لكني فانا انا انني désolé désolée desole desolee malheureusement mais pardon je suis suis bien que cela lo siento disculpe leider entschuldigung es tut mir leid aber mi dispiace desculpe üzgünüm maalesef ama извините сожалению к но ببخشيد متاسفانه"
 # Words that introduce an answer or name the question, normalised as words.
-INTRO = "الجواب والجواب الإجابة والإجابة السؤال هو هي ج س جواب سؤال إجابة answer the question is a q response reply réponse la est question"
-# Frequent words that only one of the languages has.
+INTRO = "الجواب والجواب الإجابة والإجابة السؤال سؤالك سألت تسأل هو هي ج س جواب سؤال إجابة answer the question is a q r s response reply your you asked réponse la est question votre vous demandez"
+# Frequent words of languages, those of one script compete.
 STOPWORDS = {
-    "en": "the of and in to a is that for on with by under be may must if has have not no one before without when which how can what who from this at its or other",
+    "en": "the of and in to a is that for on with by under be may must if has have not no one before without when which how can what who from this at its or other are was will shall it they",
     "fr": "le la les l d de du des et en est que qui pour dans sur avec par un une au aux ne pas il elle peut doit sans être selon quand quelles sont faut ses son ce cette puis avant à",
+    "es": "el la los las de del y en es que para con por un una al no se su lo más pero como debe puede sin sobre entre según cuando este esta son fue ser ha",
+    "de": "der die das den dem des und in ist zu mit von für auf ein eine einer einem nicht sich auch als an bei nach wird werden kann muss oder aus durch über wenn sind hat im zum zur",
+    "it": "il lo la i gli le di del della e in è che per con da un una al non si suo sono come deve può senza nel nella dei delle anche ha questo",
+    "pt": "o a os as de do da e em é que para com por um uma ao não se seu mais mas como deve pode sem no na dos das são foi ser ou pelo",
+    "nl": "de het een en van in is dat op te voor met niet aan er zijn door om als bij ook kan moet wordt naar uit over of deze die",
+    "tr": "ve bir bu da de için ile olarak olan gibi daha çok en ne ya veya değil kadar sonra ise her ancak göre tarafından",
+    "pl": "i w na z do się nie jest to że o po od za jak przez oraz dla lub być może jego który która przed",
+    "ar": "في من على إلى أن إن عن ما هو هي أو لا لم قد إذا كل هذا هذه ذلك التي الذي بعد قبل عند مع بين ثم حتى كما وفقا خلال أمام إلا بأن لمن وإذا",
+    "fa": "را در با از به که و است باید این آن برای تا می کند شود خود یا هر نیز بر اگر پس پیش نماید دهد تواند شده بود هم",
+    "ur": "کے کی کا میں ہے سے کو اور پر نے کہ ہیں یہ وہ ہو گا گی تھا نہیں بھی ایک کر لیے",
 }
+#: The script of each of these languages, and scripts that tell a language by themselves, by ranges of code points.
+SCRIPTS = {"arabic": ("ar", "fa", "ur"), "latin": ("en", "fr", "es", "de", "it", "pt", "nl", "tr", "pl")}
+OTHER_SCRIPTS = {"el": ((0x370, 0x400),), "cyrillic": ((0x400, 0x530),), "hy": ((0x531, 0x590),), "he": ((0x590, 0x600),), "hi": ((0x900, 0x980),), "th": ((0xE00, 0xE80),), "ka": ((0x10A0, 0x1100),), "ja": ((0x3040, 0x3100),), "zh": ((0x4E00, 0xA000),), "ko": ((0xAC00, 0xD7A4),)}
 _MARKS = re.compile(r"[^\w\s]+|_+")
 _SPACES = re.compile(r"\s+")
 _FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ی": "ي", "ة": "ه", "ک": "ك"})
@@ -80,12 +109,31 @@ def plain(text: str) -> str:
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for x in REFUSALS:
-        a.add_word(f" {x} ", len(x.split()))
-        a.add_word(f" {x}", len(x.split()))  # a phrase may go on in the same word
+        x = plain(x)
+        kind = (len(x.split()), len(x), x.startswith(tuple(y if y.endswith(" ") else plain(y) for y in FIRST_PERSON)))
+        a.add_word(f" {x} ", (*kind, 1))
+        a.add_word(f" {x}", (*kind, 0))  # a phrase may go on in the same word
     a.make_automaton()
     return a
 
 
+@functools.cache
+def _apologies() -> frozenset:
+    return frozenset(plain(APOLOGY).split())
+
+
+def _refused(text: str) -> int:
+    """Words of the refusal phrases in a plain text between blanks; 0 where none counts."""
+    said = {}
+    for end, (words, length, first, blank) in _automaton().iter(text):
+        if first:
+            before = text[: end + 1 - blank - length].split()
+            if sum(x not in _apologies() for x in before) > LEAD:
+                continue
+        said[end - blank] = max(words, said.get(end - blank, 0))
+    return sum(said.values())
+
+
 @functools.cache
 def _hashes(words: str) -> frozenset:
     return frozenset(Words([words]).hashes.tolist())
@@ -138,37 +186,58 @@ class SuffixAutomaton:
         return out
 
 
-def _copy(q: list, a: list) -> bool:
-    if not q or not a:
-        return False
-    intro, known = _hashes(INTRO), set(q)
-    if any(x not in known and x not in intro for x in a):
-        return False  # such a word cannot lie in a copied run
+def _copied(q: list, a: list) -> tuple[float, bool]:
+    """Share of the answer's words that lie in copied runs, and whether the answer says nothing else."""
+    known = set(q)
     run = min(RUN, len(q), len(a))
+    if not run or sum(x in known for x in a) < run:
+        return 0.0, False  # no run can be copied
     copied = SuffixAutomaton(q).copied(a, run)
-    return any(copied) and all(c or x in intro for c, x in zip(copied, a))
-
-
-def _language(words: list, arabic: int, latin: int) -> str | None:
-    """The language most votes are for; None where none is clear."""
-    if arabic > 2 * latin:
-        return "ar" if arabic >= 3 else None
-    if latin > 2 * arabic and latin >= 3:
-        votes = {k: sum(x in _hashes(v) for x in words) for k, v in STOPWORDS.items()}
-        best, other = sorted(votes, key=votes.get, reverse=True)
-        return best if votes[best] >= 2 and votes[best] > 2 * votes[other] else None
-    return None
+    share = sum(copied) / len(a)
+    if not any(copied):
+        return share, False
+    intro = _hashes(INTRO)
+    lead = copied.index(True)
+    rest = all(c or x in intro for c, x in zip(copied[lead:], a[lead:]))
+    opening = all(x in intro for x in a[:lead]) or lead <= LEAD and sum(copied) >= WHOLE * len(q)
+    return share, rest and opening
+
+
+def _language(words: list, letters: dict[str, int]) -> str | None:
+    """The language most votes are for; None where none is clear.  letters: how many there are of each script."""
+    script, n = max(letters.items(), key=lambda x: x[1])
+    if n < 3 or n <= 2 * (sum(letters.values()) - n):
+        return None
+    if script not in SCRIPTS:
+        return script
+    votes = sorted(((sum(x in _hashes(STOPWORDS[k]) for x in words), k) for k in SCRIPTS[script]), reverse=True)
+    (most, best), (second, _) = votes[:2]
+    if most >= 2 and most >= 1.5 * second:
+        return best
+    return "ar" if script == "arabic" and votes[0][0] < 2 else None
 
 
 @functools.cache
-def _scripts() -> tuple[np.ndarray, np.ndarray]:
+def _scripts() -> np.ndarray:
+    """Code point -> number of its script: 0 none, 1 Arabic, 2 Latin, then OTHER_SCRIPTS."""
     t = table("words")
-    return (t >= 0x620) & (t < 0x700), (t >= 97) & (t <= 122) | (t >= 0xE0) & (t < 0x180)
+    out = np.zeros(len(t), np.int8)
+    out[(t >= 0x620) & (t < 0x700)] = 1
+    out[(t >= 97) & (t <= 122) | (t >= 0xE0) & (t < 0x180)] = 2
+    for n, ranges in enumerate(OTHER_SCRIPTS.values(), 3):
+        for a, b in ranges:
+            out[a:b][t[a:b] > 0] = n
+    return out
 
 
-def _letters(w: Words, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ar, la = _scripts()
-    return np.add.reduceat(ar[w.raw], starts, dtype=np.int64), np.add.reduceat(la[w.raw], starts, dtype=np.int64)
+def _letters(w: Words, n: int, starts: np.ndarray) -> list[dict[str, int]]:
+    """How many letters of each script each text has."""
+    names = ["arabic", "latin", *OTHER_SCRIPTS]
+    s = _scripts()[w.raw]
+    at = np.flatnonzero(s)
+    text = np.searchsorted(starts, at, "right") - 1
+    counts = np.bincount(text * (len(names) + 1) + s[at], minlength=n * (len(names) + 1)).reshape(n, -1)[:, 1:]
+    return [dict(zip(names, row)) for row in counts.tolist()]
 
 
 def _open(text: str) -> bool:
@@ -215,7 +284,6 @@ def _closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    auto = _automaton()
     for pdf in batches:
         for i in range(0, len(pdf), BLOCK):
             p = pdf.iloc[i : i + BLOCK]
@@ -223,51 +291,54 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             questions = ["" if x is None else x for x in p.question]
             a, q = Words(answers, already=True), Words(questions)
             starts = [np.cumsum([0, *(len(t) + 1 for t in ts)])[:-1] for ts in (answers, [unicodedata.normalize("NFKC", t) for t in questions])]
-            (aar, ala), (qar, qla) = _letters(a, len(p), starts[0]), _letters(q, len(p), starts[1])
+            alet, qlet = _letters(a, len(p), starts[0]), _letters(q, len(p), starts[1])
             h, pair = _pairs(a)
             out = []
             for r, (row, text) in enumerate(zip(p.row_id, answers)):
                 aw, qw = a.of(r).tolist(), q.of(r).tolist()
                 t = f" {plain(text)} "
                 if not aw or t.strip() in PLACEHOLDERS:
-                    out.append((row, "empty", 0, 0))
+                    out.append((row, "empty", 0.0, 0, 0))
                     continue
-                said = sum(n for _, n in {end: n for end, n in auto.iter(t)}.items())
+                said = _refused(t)
+                share, copy = _copied(qw, aw)
                 if said and len(aw) - said <= REFUSAL_REST + said:
-                    out.append((row, "refusal", 0, 0))
-                elif _copy(qw, aw):
-                    out.append((row, "copy", 0, 0))
-                elif len(aw) >= 4 and (la := _language(aw, aar[r], ala[r])) and (lq := _language(qw, qar[r], qla[r])) and la != lq:
-                    out.append((row, "language", 0, 0))
+                    out.append((row, "refusal", share, 0, 0))
+                elif copy:
+                    out.append((row, "copy", share, 0, 0))
+                elif len(aw) >= 4 and (la := _language(aw, alet[r])) and (lq := _language(qw, qlet[r])) and la != lq:
+                    out.append((row, "language", share, 0, 0))
                 elif _BROKEN.search(text) and not _SUSPENDED.search(text) or _SUSPENDED.search(text) or _MARKER.search(text) or _open(text):
-                    out.append((row, "truncated", 0, 0))
+                    out.append((row, "truncated", share, 0, 0))
                 elif not _CLOSED.search(text):
                     last = a.first[r + 1] - 1
-                    out.append((row, None, pair[last].astype(np.int64), h[last].astype(np.int64)))
-            yield pd.DataFrame(out, columns=["row_id", "defect", "pair", "word"]).astype({"row_id": "int64", "pair": "int64", "word": "int64"})
+                    out.append((row, None, share, pair[last].astype(np.int64), h[last].astype(np.int64)))
+            yield pd.DataFrame(out, columns=["row_id", "defect", "copied", "pair", "word"]).astype({"row_id": "int64", "copied": "float64", "pair": "int64", "word": "int64"})
 
 
 def defects(qa: DataFrame) -> DataFrame:
-    """row_id, defect of every row with a broken answer."""
-    judged = qa.select("row_id", "question", "answer").mapInPandas(_judge, "row_id long, defect string, pair long, word long")
+    """row_id, defect, copied (share of the answer's words in runs of the question) of every row with a broken answer."""
+    judged = qa.select("row_id", "question", "answer").mapInPandas(_judge, "row_id long, defect string, copied double, pair long, word long")
     n = qa.where("context is not null").select("context").mapInPandas(_closing, "h long, n long, closing long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("closing").alias("closing"))
     judged = cut(judged)
-    doubt = judged.where("defect is null").select("row_id", "pair", "word")
+    doubt = judged.where("defect is null").select("row_id", "copied", "pair", "word")
     keys = doubt.select(F.col("pair").alias("h")).union(doubt.select("word")).distinct()
     n = cut(n.join(keys, "h", "left_semi"))
     pairs = n.select(F.col("h").alias("pair"), F.col("n").alias("pn"), F.col("closing").alias("pc"))
     words = n.select(F.col("h").alias("word"), F.col("n").alias("wn"), F.col("closing").alias("wc"))
     doubt = doubt.join(pairs, "pair", "left").join(words, "word", "left")
     share = F.when(F.coalesce("pn", F.lit(0)) >= SEEN, F.col("pc") / F.col("pn")).when(F.coalesce("wn", F.lit(0)) > 0, F.col("wc") / F.col("wn")).otherwise(0.0)
-    return judged.where("defect is not null").select("row_id", "defect").union(doubt.where(share < END_SHARE).select("row_id", F.lit("truncated")))
+    return judged.where("defect is not null").select("row_id", "defect", "copied").union(doubt.where(share < END_SHARE).select("row_id", F.lit("truncated"), "copied"))
 
 
-found = defects
+def found(qa: DataFrame) -> DataFrame:
+    """row_id, defect."""
+    return defects(qa).select("row_id", "defect")
 
 
 def report(qa: DataFrame) -> DataFrame:
-    """Per source and defect: rows and their share of the source's rows."""
+    """Per source and defect: rows, their share of the source's rows, mean share of copied words."""
     d = qa.select("row_id", "source").join(defects(qa), "row_id", "left")
-    n = d.groupBy("source", "defect").agg(F.count("*").alias("rows"))
+    n = d.groupBy("source", "defect").agg(F.count("*").alias("rows"), F.round(F.avg("copied"), 6).alias("copied"))
     total = n.groupBy(F.col("source").alias("_s")).agg(F.sum("rows").alias("of"))
-    return n.join(total, n.source.eqNullSafe(total._s)).where("defect is not null").select("source", "defect", "rows", F.round(F.col("rows") / F.col("of"), 6).alias("share"))
+    return n.join(total, n.source.eqNullSafe(total._s)).where("defect is not null").select("source", "defect", "rows", F.round(F.col("rows") / F.col("of"), 6).alias("share"), "copied")

@@ -215,6 +215,9 @@ def test_defects(spark):
         (q, q, "copy"), (q, "الجواب: " + q, "copy"), (q, f"{q} {q}", "copy"), (e, "(" + e.upper() + ")", "copy"), (q, q + " والجواب أنه يلتزم البائع بتسليم المبيع إلى المشتري.", None),
         (q, "The debtor must pay the fee within the agreed term.", "language"), (e, "Le débiteur doit payer la somme avant que le délai soit fini.", "language"), (e, "يلتزم البائع بتسليم المبيع إلى المشتري.", "language"),
         (q, "يلتزم البائع بتسليم المبيع إلى،", "truncated"), (q, "يلتزم البائع بتسليم (المادة", "truncated"), (q, "يلتزم البائع. ثانياً:", "truncated"), (e, "The debtor must pay the fee. 2)", "truncated"), (q, "يلتزم البائع بتسليم المب", "truncated"), (q, "يلتزم البائع بتسليم…", "truncated"), (q, "يلتزم البائع بتسليم المبيع إلى", "truncated"),
+        (e, "I'm afraid I have no information about that.", "refusal"), (q, "عذرا، لا أعرف الجواب.", "refusal"), (e, "Sorry, I don't know.", "refusal"), (e, "Lo siento, no puedo responder a esa pregunta.", "refusal"), (e, "К сожалению, я не могу ответить на этот вопрос.", "refusal"),
+        (e, "A judge may say I cannot answer only where the law forbids it.", None), (q, "You asked: " + q, "copy"), (e, "Here you go: " + e, "copy"), (e, "When must the debtor pay the fee that is due? Within five days of the notice.", None),
+        (e, "El deudor debe pagar la suma antes de que termine el plazo.", "language"), (q, "Der Schuldner muss die Gebühr vor dem Ablauf der Frist zahlen.", "language"), (q, "Должник должен уплатить сбор до окончания срока.", "language"), (q, "بدهکار باید هزینه را پیش از پایان مهلت بپردازد و رسید آن را بگیرد.", "language"),
         (q, "يلتزم البائع بتسليم المبيع إلى المشتري", None), (q, "يلتزم البائع بتسليم المبيع إلى المشتري.", None), (None, "يلتزم البائع بتسليم المبيع إلى المشتري.", None), (None, None, "empty"),
     ]
     rows = [(i, "s", x, c, a) for i, (x, a, _) in enumerate(cases)]
