@@ -3,7 +3,7 @@
 Method, in this order, the first that fits:
   empty      null, or nothing but blanks, marks or a placeholder.
   refusal    an Aho-Corasick automaton of refusal phrases in several languages finds one and little else is said
-             (REFUSAL_REST words); a phrase in the first person counts only near the beginning (LEAD words before it,
+             (REFUSAL_REST words); a phrase in the first person counts only near the beginning (BEFORE words before it,
              apologies aside), so that a text that quotes one is no refusal.
   copy       the answer is traversed through a suffix automaton of the question's words, which gives the share of its
              words that lie in copied runs of at least RUN words; what is not copied are words of a fixed list that
@@ -37,7 +37,7 @@ from daftar.llm.codes import Words, mix, table
 from daftar.session import cut
 
 RUN = 3
-REFUSAL_REST, LEAD, WHOLE = 14, 3, 0.8
+REFUSAL_REST, BEFORE, LEAD, WHOLE = 14, 2, 3, 0.8
 END_SHARE, SEEN = 0.01, 20
 BLOCK = 1000
 
@@ -128,7 +128,7 @@ def _refused(text: str) -> int:
     for end, (words, length, first, blank) in _automaton().iter(text):
         if first:
             before = text[: end + 1 - blank - length].split()
-            if sum(x not in _apologies() for x in before) > LEAD:
+            if sum(x not in _apologies() for x in before) > BEFORE:
                 continue
         said[end - blank] = max(words, said.get(end - blank, 0))
     return sum(said.values())
