@@ -64,7 +64,7 @@ REFUSALS += [
 #: Beginnings of phrases in the first person.
 FIRST_PERSON = ("i ", "je ", "لا استطيع", "لا اعرف", "لا اعلم", "لا ادري", "لا اقدر", "لا املك", "ليس عندي", "ليس لدي", "لست", "ich ", "no puedo", "no lo se", "non posso", "non lo so", "não ", "nao ", "я ", "не могу")
 #: Words of apology and address that may stand before a refusal.
-APOLOGY = "sorry i m am afraid but unfortunately regret apologise apologize we to say that thank you for the your question عذرا اسف اعتذر للاسف معذره نعتذر مع الاسف لكن لكني فانا انا انني désolé désolée desole desolee malheureusement mais pardon je suis suis bien que cela lo siento disculpe leider entschuldigung es tut mir leid aber mi dispiace desculpe üzgünüm maalesef ama извините сожалению к но ببخشيد متاسفانه"
+APOLOGY = "merci pour votre question شكرا على سؤالك لك thanks hello hi good gracias por su pregunta hola danke für ihre frage grazie спасибо за вопрос teşekkürler sorry i m am afraid but unfortunately regret apologise apologize we to say that thank you for the your question عذرا اسف اعتذر للاسف معذره نعتذر مع الاسف لكن لكني فانا انا انني désolé désolée desole desolee malheureusement mais pardon je suis suis bien que cela lo siento disculpe leider entschuldigung es tut mir leid aber mi dispiace desculpe üzgünüm maalesef ama извините сожалению к но ببخشيد متاسفانه"
 # Words that introduce an answer or name the question, normalised as words.
 INTRO = "الجواب والجواب الإجابة والإجابة السؤال سؤالك سألت تسأل هو هي ج س جواب سؤال إجابة answer the question is a q r s response reply your you asked réponse la est question votre vous demandez"
 # Frequent words of languages, those of one script compete.
