@@ -31,6 +31,11 @@ def p1_report(s: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(_t(s, d, "qa_pairs"))
 
 
+@query
+def p1_records(s: SparkSession, d: str) -> DataFrame:
+    return split_overlap.records(_t(s, d, "qa_pairs"))
+
+
 @query
 def p8_found(s: SparkSession, d: str) -> DataFrame:
     return eval_leaks.found(_t(s, d, "documents"), _t(s, d, "eval_items"))

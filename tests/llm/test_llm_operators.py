@@ -116,6 +116,17 @@ def test_overlaps_of_short_texts(spark, hot):
     assert {(r.train_id, r.eval_id) for r in split_overlap.overlaps(qa, hot).collect()} == {(2 * i, 2 * i + 1) for i in range(300)}
 
 
+def test_overlaps_of_copies(spark):
+    """Three copies in train and two in test of one record, and a near copy: every pair of rows comes out."""
+    q, c = "how may the debtor divide the boundary plan if the employer has refused", " ".join(f"c{i}" for i in range(40))
+    rows = [(i, "train" if i < 3 else "test", "s", q, c) for i in range(5)] + [(9, "validation", "t", q.replace("debtor", "buyer"), c)]
+    qa = spark.createDataFrame(rows, "row_id long, split string, source string, question string, context string")
+    got = sorted((r.row_id_a, r.row_id_b) for r in split_overlap.found(qa).collect())
+    assert got == sorted((a, b) for a in range(3) for b in (3, 4, 9))
+    r = {x.row_id: (x.links, x.context_coverage) for x in split_overlap.records(qa).collect()}
+    assert r == {3: (3, 1.0), 4: (3, 1.0), 9: (3, 1.0)}
+
+
 def test_kept_hashes_of_short_questions_meet():
     for n in (8, 9):
         for k in range(300):
