@@ -408,8 +408,8 @@ def test_scan_noise(lex):
 
 
 def test_decode_splits_and_merges(lex):
-    assert scan_noise.decode(["thecourt"], lex) == [("split", "the court")]
-    assert scan_noise.decode(["land", "lord"], lex)[0] == ("merge", "landlord")
+    assert scan_noise.decode(["thecourt"], lex) == [("split", "the court", 1)]
+    assert scan_noise.decode(["land", "lord"], lex)[0] == ("merge", "landlord", 2)
 
 
 def test_scan_noise_end_to_end(spark):
@@ -611,3 +611,33 @@ def test_unknown_swap_is_learned(spark):
     pairs = [(x, y) for i, r in back.items() for x, y in zip(truth[i], r.text) if "\u0621" <= x <= "\u064a"]
     assert {r.key for r in back.values()} == {"unknown"}
     assert sum(x == y for x, y in pairs) > 0.9 * len(pairs)
+
+
+def _page(text, counts):
+    return scan_noise.Page(text, [], set(), scan_noise.Lexicon(counts))
+
+
+def test_words_in_pieces_and_run_together_are_read_over_the_stream():
+    counts = {w: 1000 for w in "the court decided that case in favour of buyer law".split()}
+    for text, want in (
+        ("the cou\nrt decided", "the court decided"), ("that the court deci\nded the case", "that the court decided the case"),
+        ("in courtdecidedthat case", "in court decided that case"), ("the c o u r t decided", "the court decided"), ("the c o\nu r t decided", "the court decided"),
+        ("the buyer decided", "the buyer decided"), ("of the\ncourt", "of the court"),
+    ):
+        p = _page(text, counts)
+        assert " ".join(t for line in p.read() for t in line) == want and not p.kinds, text
+
+
+def test_rare_words_stay_and_are_joined_where_they_are_many(spark, monkeypatch):
+    """A word with few occurrences that resembles a frequent one stays, unless the other is RATIO times as frequent."""
+    rows = [(i, "a", "the court decided that the buyer may keep the land " * 3) for i in range(200)] + [(200 + i, "a", "the clerk and the cleric met in " + ("kourt" if i % 2 else "court")) for i in range(8)]
+    chunks = spark.createDataFrame([(k, s, t, "d", 1) for k, s, t in rows], "chunk_key long, source string, page_content string, document string, chunk_id long")
+    qa = spark.createDataFrame([], "row_id long, source string, context string")
+    sources = spark.createDataFrame([("a", "scan", "Quite Another Title")], "source string, kind string, title string")
+    monkeypatch.setattr(scan_noise, "SHARE", 0.01)
+    got = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(scan_noise, "RARE", most)
+        got.append({r.row_key: r.text for r in scan_noise.repaired(chunks, qa, sources).collect()})
+    assert got[0] == got[1]
+    assert "the clerk and the cleric met in court" in got[0][201] and "the clerk and the cleric met in court" in got[0][200]
