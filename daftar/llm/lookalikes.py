@@ -34,7 +34,7 @@ from daftar.session import cut, small
 ALIKE = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<compat>", "<font>"}
 #: Invisible besides the format characters: Mongolian separator, combining joiner, fillers, variation selectors.
 _UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
-_SCRIPTS = "Ͱ-ϿЀ-ԯᎠ-᏿Ա-֏"
+_SCRIPTS = "Ͱ-ϿЀ-ԯᎠ-᏿Ա-֏Ⲁ-⳿ꓐ-꓿ꭰ-ꮿ"
 _OTHER = re.compile(rf"[{_SCRIPTS}]")
 _WORD = re.compile(r"\w+")
 #: The yeh of other languages has no dots at the end of a word.

@@ -641,3 +641,9 @@ def test_rare_words_stay_and_are_joined_where_they_are_many(spark, monkeypatch):
         got.append({r.row_key: r.text for r in scan_noise.repaired(chunks, qa, sources).collect()})
     assert got[0] == got[1]
     assert "the clerk and the cleric met in court" in got[0][201] and "the clerk and the cleric met in court" in got[0][200]
+
+
+def test_look_alikes_of_more_scripts():
+    assert lookalikes.canonical("ꓮ ꓐꓳ ⲟ ꮃ ꮩ ᴠ ᴏ ᴡ ᴢ ɑ ѡ ʋ") == "A BO o w v v o w z a w u"
+    assert lookalikes.canonical("− ‐ ⁃ ‚ ∕ ׃ ǃ ꞌ") == "- - - , / : ! '"
+    assert lookalikes.canonical("ⲡⲣⲱⲙⲉ ꓡꓲ-ꓢꓴ") == "ⲡⲣⲱⲙⲉ LI-SU"  # Coptic words with letters of their own stay
