@@ -20,6 +20,7 @@ under another doc_id are documents of their own.  Empty tables give empty result
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from daftar.session import cut, small
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 64
+BUCKETS, PER_BUCKET = 64, 50_000
 SEED = 20
 #: Parts of an octave that token counts are sorted into.
 CLASSES = 4
@@ -42,10 +43,11 @@ _LOADED: dict = {}
 def _encoding(raw: bytes):
     import tiktoken
 
-    known = _LOADED.get(len(raw))
+    name = hashlib.md5(raw).digest()
+    known = _LOADED.get(name)
     if known is None:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-        known = _LOADED[len(raw)] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        known = _LOADED[name] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return known
 
 
@@ -75,11 +77,12 @@ def rates(counts: DataFrame, targets: DataFrame, total: float | None = None) ->
 def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer: str = TOKENIZER, seed: int = SEED) -> DataFrame:
     """doc_id, source, n_tokens, copies of every document that is used at least once."""
     counts = cut(token_counts(documents.where("source is not null"), tokenizer))
+    buckets = max(BUCKETS, counts.count() // PER_BUCKET)  # a source of all documents in one size class still makes small buckets
     r = rates(counts, targets, total)
     side = F.broadcast if small(r, 10_000) else lambda x: x
     size = F.floor(F.log2("n_tokens") * CLASSES).cast("int")
     h = F.xxhash64("doc_id", F.lit(seed))
-    d = counts.join(side(r.select("source", "rate")), "source").withColumns({"_size": size, "_bucket": F.pmod(h, F.lit(BUCKETS)).cast("int"), "_hash": h})
+    d = counts.join(side(r.select("source", "rate")), "source").withColumns({"_size": size, "_bucket": F.pmod(h, F.lit(buckets)).cast("int"), "_hash": h})
     n = d.groupBy("source", "_size", "_bucket").agg(F.count("*").alias("n"))
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_size", "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     here = F.row_number().over(Window.partitionBy("source", "_size", "_bucket").orderBy("_hash", "doc_id"))
