@@ -153,7 +153,7 @@ def numbered(chunks: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFr
     """
     p = pieces(chunks, sources, limits)
     block = (F.coalesce("old_chunk_id", F.lit(0)) / 1024).cast("long")
-    p = cut(p.withColumn("_block", block).withColumn("_source", F.coalesce("source", F.lit(""))))
+    p = cut(p.withColumn("_block", block).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))  # null is no source named ""
     n = p.groupBy("_source", "_block").agg(F.count("*").alias("n"))
     # one row per 1024 old numbers
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

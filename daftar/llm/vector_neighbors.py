@@ -146,7 +146,10 @@ class Cell:
                 near[top == own[new][:, None]] = -np.inf
                 f[new] = np.partition(near, -k, axis=1)[:, -k] - 1e-5
             high = about + np.stack([far[:, 0], error], 1).astype(np.float32) @ self.side[[3, 1]]
-            rows, cols = np.nonzero(high >= (f - same - 1e-5).astype(np.float32)[:, None])
+            if len(new) and len(self.ids) > m:
+                high[new[:, None], top] = np.inf  # their products are known, so a query has k of them whatever the bound
+            high[mine] = -np.inf
+            rows, cols = np.nonzero((high >= (f - same - 1e-5).astype(np.float32)[:, None]) & (high > -np.inf))
             if len(rows) > DENSE * high.size:  # one product for all is cheaper than picking the pairs
                 near = (single @ self.single.T)[rows, cols]
             else:
@@ -224,6 +227,8 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
                 yield pd.DataFrame({"vec_id": p.vec_id.to_numpy(), "embedding": p.embedding.to_numpy(), "cell": own.astype(np.int32), "code": list(codes.view(np.int64)), "scalars": list(scalars.astype(np.float32))})
 
     lists = cut(reps.select("vec_id", "embedding").mapInPandas(code, "vec_id long, embedding array<float>, cell int, code array<long>, scalars array<float>"))
+    base_n = {r[0]: r[1] for r in lists.groupBy("cell").count().collect()}  # one number a cell
+    held = np.array([base_n.get(j, 0) for j in range(cells)])
     rank, gap = _visits(lists, some(CALIBRATE), c, k)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,11 +240,11 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
                 order = np.argsort(-s, axis=1, kind="stable")
                 s = np.take_along_axis(s, order, 1)
                 visits = (s >= s[:, :1] - gap).sum(1) if rank is None else np.full(len(p), min(rank, cells))
+                visits = np.maximum(visits, (np.cumsum(held[order], axis=1) <= k).sum(1) + 1)  # more than k vectors at least
                 yield pd.DataFrame({"vec_id": p.vec_id.to_numpy(), "embedding": p.embedding.to_numpy(), "near": [x[:v].astype(np.int32) for x, v in zip(order, visits)]})
 
     at = cut(reps.select("vec_id", "embedding").mapInPandas(near, "vec_id long, embedding array<float>, near array<int>"))
     # one size a cell
-    base_n = {r[0]: r[1] for r in at.groupBy(F.element_at("near", 1)).count().collect()}
     query_n = {r[0]: r[1] for r in at.select(F.explode("near").alias("c")).groupBy("c").count().collect()}
     sizes = spark.createDataFrame([(j, -(-base_n.get(j, 0) // BLOCK), max(1, -(-query_n.get(j, 0) // QUERY_BLOCK))) for j in range(cells)], "cell int, parts int, salts int")
     sizes = F.broadcast(sizes.where("parts > 0"))  # at most SAMPLE / PER_CELL * 10 rows

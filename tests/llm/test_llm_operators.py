@@ -647,3 +647,13 @@ def test_look_alikes_of_more_scripts():
     assert lookalikes.canonical("ꓮ ꓐꓳ ⲟ ꮃ ꮩ ᴠ ᴏ ᴡ ᴢ ɑ ѡ ʋ") == "A BO o w v v o w z a w u"
     assert lookalikes.canonical("− ‐ ⁃ ‚ ∕ ׃ ǃ ꞌ") == "- - - , / : ! '"
     assert lookalikes.canonical("ⲡⲣⲱⲙⲉ ꓡꓲ-ꓢꓴ") == "ⲡⲣⲱⲙⲉ LI-SU"  # Coptic words with letters of their own stay
+
+
+@pytest.mark.parametrize("n", [12, 30, 41, 112])
+def test_a_cell_gives_every_query_all_it_can_and_never_itself(n):
+    rng = np.random.default_rng(n)
+    x = vector_neighbors.unit(pd.Series(list(rng.standard_normal((n, 64)) + 2 * rng.standard_normal(64))))
+    c, rot = x.mean(0, keepdims=True), vector_neighbors.rotation(64)
+    cell = vector_neighbors.Cell(x, np.arange(n), *vector_neighbors.coded(x, c, np.zeros(n, int), rot), c[0], rot)
+    for i, (_, ids) in enumerate(cell.search(x, np.arange(n), np.full(n, -np.inf), 10)):
+        assert len(set(ids.tolist())) == 10 and i not in ids
