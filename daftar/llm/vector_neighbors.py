@@ -104,8 +104,8 @@ class Cell:
         self.base, self.single, self.ids, self.centre, self.rot = base, base.astype(np.float32), ids, centre, rot
         self.order = np.argsort(ids)
 
-    def _products(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each rotated difference: its counts with all codes times its step, its lowest number, its error bound."""
+    def _products(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each rotated difference: its counts with all codes times its step, its lowest number, the sum of its quantised numbers, its error bound."""
         low = e.min(1)
         step = np.maximum(e.max(1) - low, 1e-12) / ((1 << PLANES) - 1)
         u = np.zeros((len(e), 64 * len(self.codes)), np.uint8)
@@ -115,7 +115,8 @@ class Cell:
             plane = np.packbits(u >> j & 1, axis=1, bitorder="little").view(np.uint64)
             for w, codes in enumerate(self.codes):
                 count += np.bitwise_count(plane[:, w : w + 1] & codes).astype(np.uint16) << j
-        return count * step[:, None].astype(np.float32), low, EPSILON * step * np.sqrt(e.shape[1] / 12)
+        total = step * u.sum(1) + low * e.shape[1]
+        return count * step[:, None].astype(np.float32), low, total, EPSILON * step * np.sqrt(e.shape[1] / 12)
 
     def _own(self, qids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.order[np.minimum(np.searchsorted(self.ids, qids, sorter=self.order), len(self.ids) - 1)]
@@ -131,8 +132,8 @@ class Cell:
             e = (q - self.centre) @ self.rot
             far = np.sqrt((e * e).sum(1, keepdims=True))
             same = (q @ self.centre) - self.centre @ self.centre
-            sums, low, error = self._products(e)
-            about = 2 * sums * self.scale + np.stack([2 * low, -e.sum(1), np.ones(len(q))], 1).astype(np.float32) @ self.side[:3]
+            sums, low, total, error = self._products(e)
+            about = 2 * sums * self.scale + np.stack([2 * low, -total, np.ones(len(q))], 1).astype(np.float32) @ self.side[:3]
             mine = self._own(qids[i : i + ROWS])
             about[mine] = -np.inf
             new = np.flatnonzero(np.isneginf(f))
