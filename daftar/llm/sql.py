@@ -1,11 +1,6 @@
 """Oracle SQL of the queries that SQL can express on whole tables."""
 
 SQL: dict[str, str] = {
-    "p2_found": """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
-k AS (SELECT q.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, b.e), 12) DESC, b.vec_id) AS r FROM v q, v b WHERE q.vec_id <> b.vec_id)
-SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM k WHERE r <= 10
-""",
     "p5_found": """
 SELECT c.chunk_key FROM chunks c LEFT JOIN sources s ON c.source = s.source
 JOIN split_limits l ON l.kind = CASE WHEN c.source IS NULL THEN 'none' ELSE s.kind END
