@@ -10,7 +10,12 @@ its context, which the join compares: words of one text that the other lacks eac
 bitmap only are at most as many, so a pair with more such bits than DIFFER allows would not be verified either.  The
 comparison throws out nothing else; the longer the texts, the less it throws out.
 Candidates are verified on their texts: common seeds are chained in the same order, the gaps between the chained
-seeds are aligned by bit-parallel edit distance, and the words matched are the coverage.
+seeds are aligned by bit-parallel edit distance, and the words matched are the coverage.  Where the chain finds too
+many edits (a passage stands in two places and the chain took the wrong one), the whole texts are aligned.
+
+So the result is all pairs whose edit distance is at most DIFFER of the words of the longer text, in the question and
+in the context.  DIFFER is the share for which the runs above and below are sure: a pair beyond it would be found or
+not as its hashes happen to be kept or hot, that is, by the size of the tables.
 
 A hash that would make more than HOT pairs is not joined alone.  It is refined to the hashes of the SEED + 1 words
 that contain it (a common run of five words has one of them in common), and where such a one is still hot, by the
@@ -30,6 +35,7 @@ give empty results.  Extra columns are ignored.  Repeated rows count like any ro
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +54,8 @@ HOT = 2_000_000
 #: Bitmaps of words: 128 bits for the question, 256 for the context.
 QUESTION_MAP, CONTEXT_MAP = ["q0", "q1"], ["c0", "c1", "c2", "c3"]
 CARRIED = [*QUESTION_MAP, *CONTEXT_MAP, "q_words", "c_words"]
-#: Share of words that may differ: between 1/8 (matches) and 1/2 (others).
-DIFFER = 0.25
+#: Share of words that may differ.
+DIFFER = 1 / 8
 BLOCK = 500
 
 
@@ -175,6 +181,18 @@ def chained_distance(a: list, b: list, k: int = SEED) -> int:
     return total + edit_distance(a[ai:], b[bi:])
 
 
+def coverage(a: list, b: list) -> float | None:
+    """Share of the longer word list that is matched; None where more than DIFFER of it are edits, or both are empty."""
+    n = max(len(a), len(b))
+    most = DIFFER * n
+    if not n or n - (Counter(a) & Counter(b)).total() > most:  # words that the other lacks each cost an edit
+        return None
+    d = chained_distance(a, b)
+    if d > most:
+        d = edit_distance(a, b)
+    return 1 - d / n if d <= most else None
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for i in range(0, len(pdf), BLOCK):
@@ -184,11 +202,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in range(len(p)):
                 share = []
                 for x, y in (("qa", "qb"), ("ca", "cb")):
-                    a, b = w[x].of(r).tolist(), w[y].of(r).tolist()
-                    n = max(len(a), len(b))
-                    d = chained_distance(a, b) / n if n and min(len(a), len(b)) >= (1 - DIFFER) * n else 1.0
-                    share.append(1 - d)
-                    if d > DIFFER:
+                    share.append(coverage(w[x].of(r).tolist(), w[y].of(r).tolist()))
+                    if share[-1] is None:
                         break
                 else:
                     out.append((p.row_id_a.iat[r], p.row_id_b.iat[r], share[0], share[1]))

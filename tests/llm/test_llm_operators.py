@@ -116,6 +116,33 @@ def test_overlaps_of_short_texts(spark, hot):
     assert {(r.train_id, r.eval_id) for r in split_overlap.overlaps(qa, hot).collect()} == {(2 * i, 2 * i + 1) for i in range(300)}
 
 
+@pytest.mark.parametrize("hot", [10**9, 3, 0])
+def test_overlaps_around_the_share_that_may_differ(spark, hot):
+    """Questions and contexts with none to a quarter of their words changed, among many with four words of theirs: those within one in eight come out, whatever is hot."""
+    rnd = random.Random(8)
+
+    def change(words, n):
+        out = list(words)
+        for j in rnd.sample(range(len(out)), n):
+            out[j] = f"n{rnd.randrange(10**9)}"
+        return out
+
+    rows = []
+    for i in range(400):
+        q = [f"q{i}w{j}" for j in range(rnd.choice([7, 8, 9, 10, 12, 16, 17, 24]))]
+        q[1:5] = ["what", "does", "the", "law"]
+        c = [f"c{i}w{j}" for j in range(rnd.choice([8, 12, 20, 60]))]
+        rows += [(2 * i, "train", "s", q, c), (2 * i + 1, "test", "s", change(q, rnd.randrange(len(q) // 4 + 1)), change(c, rnd.randrange(len(c) // 4 + 1)))]
+    # a passage marked in two places, so that all words in a row that are unique in both texts stand in the wrong place
+    r = [f"r{j}" for j in range(20)]
+    s = r[:10] + ["x"] + r[11:]
+    rows += [(1000, "train", "s", [f"m{j}" for j in range(12)], r + s + r * 4), (1001, "test", "s", [f"m{j}" for j in range(12)], r * 4 + s + r)]
+    want = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2]) if all(8 * split_overlap.edit_distance(x, y) <= len(x) for x, y in zip(a[3:], b[3:]))}
+    qa = spark.createDataFrame([(*x[:3], " ".join(x[3]), " ".join(x[4])) for x in rows], "row_id long, split string, source string, question string, context string")
+    assert 50 < len(want) < 350 and (1000, 1001) in want
+    assert {(r.train_id, r.eval_id) for r in split_overlap.overlaps(qa, hot).collect()} == want
+
+
 def test_overlaps_of_copies(spark):
     """Three copies in train and two in test of one record, and a near copy: every pair of rows comes out."""
     q, c = "how may the debtor divide the boundary plan if the employer has refused", " ".join(f"c{i}" for i in range(40))
