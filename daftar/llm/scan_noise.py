@@ -15,7 +15,8 @@ Lexicon: words with at least max(MIN_COUNT, SHARE of all words) occurrences, so
 the corpus; what is broadcast is bounded by that, and each worker builds it once.  Words that are one confusion away
 from a word RATIO times as frequent are taken out: frequent misreadings.  Rarer words with MIN_COUNT occurrences that
 are no such misreadings are known, too: they are never what a misread word is read as, but they stay as they are.
-They are broadcast where they are at most RARE; where there are more, each text is joined with those it holds.
+They are broadcast where they are at most RARE; where there are more, each text is joined with those of them that its
+reading can ask for (its words and all that marks at line ends may join), so both ways give the same rows.
 
 Only rows of sources of kind ``scan`` and rows without source are read.  For a row without source the titles of all
 scanned sources count.  Null and empty texts have no noise.  Texts are read whole; repeated rows each count.
@@ -128,13 +129,14 @@ class Lexicon:
             self.breaks[word] = (best[-1][0] - 5, " ".join(best[-1][1])) if best[-1][1] else None
         return self.breaks[word]
 
-    def core(self, token: str) -> str:
+    def core(self, token: str, rare: frozenset | set | None = None) -> str:
         """The known word in a token, or "" where it has no letters; None where unknown."""
+        rare = self.rare if rare is None else rare
         w = fold(token)
-        if w in self.cost or w in self.rare:
+        if w in self.cost or w in rare:
             return w
         s = w.strip(_EDGES)
-        if s in self.cost or s in self.rare or not any(x.isalpha() for x in s):
+        if s in self.cost or s in rare or not any(x.isalpha() for x in s):
             return s if any(x.isalpha() for x in s) or not re.search(r"[^\W\d]|\d\D+\d", w) else s
         parts = [x for x in re.split(r"[-'’/.,،؛;:()«»\"]+", s) if x]
         if len(parts) > 1 and all(x in self.cost or x.isdigit() for x in parts):
@@ -144,18 +146,20 @@ class Lexicon:
     def reading(self, token: str) -> tuple | None:
         """(misread?, word, cost) of a token; None where it cannot be told."""
         known = self.memo.get(token)
-        if known is not None:
-            return known[0]
-        out = self._reading(token)
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[token] = (out,)
-        return out
+        if known is None:  # without rare words, as each text may have its own
+            w = fold(token)
+            s = w.strip(_EDGES)
+            known = (self._reading(token), () if w in self.cost or len(token) > LONGEST + 8 else (w,) if s in self.cost else (w, s))
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            self.memo[token] = known
+        out, unknown = known
+        return (False, token, 12.0) if any(x in self.rare for x in unknown) else out
 
     def _reading(self, token: str) -> tuple | None:
         if len(token) > LONGEST + 8:
             return None  # longer than any known word
-        w = self.core(token)
+        w = self.core(token, frozenset())
         if w is not None:
             return (False, token, self.cost.get(w, 12.0))
         w = fold(token)
@@ -447,16 +451,33 @@ def _rare(counts: DataFrame, least: float, token: str, lex) -> DataFrame:
     return cut(counts.where((F.col("n") >= MIN_COUNT) & (F.col("n") < least)).mapInPandas(keep, "word string"))
 
 
+def asked(text: str) -> set[str]:
+    """All words that the reading of a text can look up: its own, and those that a mark at a line's end may join.
+
+    A line may lose a first word to each of the BETWEEN + 1 lines before it.
+    """
+    lines = text.split("\n")
+    words = [x.split() for x in lines]
+    tokens = {t for line in words for t in line}
+    for i, line in enumerate(lines):
+        if m := _MARK.search(line):
+            a = line[: m.start()].split()[-1]
+            tokens.add(a)
+            for j in range(i + 1, min(len(words), i + 2 + BETWEEN)):
+                tokens.update(a + mark + b for b in words[j][: BETWEEN + 1] for mark in ("", "-"))
+    folded = {fold(t) for t in tokens}
+    return folded | {w.strip(_EDGES) for w in folded}
+
+
 def _with_rare(texts: DataFrame, rare: DataFrame, token: str, lex) -> DataFrame:
-    """texts with the rare words that each holds (column rare): only words outside the lexicon are shuffled."""
+    """texts with the rare words that each asks for (column rare): only words outside the lexicon are shuffled."""
 
     def strange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lx = _built(token, lex)
         for pdf in batches:
             out = []
             for name, key, text in zip(pdf.table_name, pdf.row_key, _tidy(list(pdf.text))):
-                words = {x for t in set(text.split()) for x in (fold(t), fold(t).strip(_EDGES)) if x and x not in lx.cost}
-                out += [(name, key, w) for w in words]
+                out += [(name, key, w) for w in asked(text) if w and w not in lx.cost]
             yield pd.DataFrame(out, columns=["table_name", "row_key", "word"])
 
     has = texts.select("table_name", "row_key", "text").mapInPandas(strange, "table_name string, row_key long, word string")
@@ -494,7 +515,6 @@ def _scanned(chunks: DataFrame, qa: DataFrame, sources: DataFrame, result, schem
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lx = _built(token, lex)
         lx.rare = everywhere.value or frozenset()
-        lx.memo.clear()
         everyone = [y for y in ([x for x in fold(t) if not x.isspace()] for t in titles.value) if y]
         bare: dict = {None: []}
         sets: dict = {}
@@ -509,9 +529,7 @@ def _scanned(chunks: DataFrame, qa: DataFrame, sources: DataFrame, result, schem
                 at = row = 0
                 for name, key, source, text, title, rep, part in zip(p.table_name, p.row_key, p.source, tidy, p.title, p.repeated, parts):
                     if not few:
-                        lx.rare, own_rare = (frozenset() if p.rare.iat[row] is None else frozenset(p.rare.iat[row])), lx.rare
-                        if lx.rare != own_rare:
-                            lx.memo.clear()
+                        lx.rare = frozenset() if p.rare.iat[row] is None else frozenset(p.rare.iat[row])
                     row += 1
                     source, title = (None if pd.isna(x) else x for x in (source, title))
                     if title not in bare:

@@ -670,6 +670,46 @@ def test_rare_words_stay_and_are_joined_where_they_are_many(spark, monkeypatch):
     assert "the clerk and the cleric met in court" in got[0][201] and "the clerk and the cleric met in court" in got[0][200]
 
 
+class _Asked(frozenset):
+    """Rare words that write down what is looked up."""
+
+    def __contains__(self, word):
+        self.seen.add(word)
+        return super().__contains__(word)
+
+
+@given(st.lists(st.lists(st.sampled_from("cle cle- rk, metric metric- Kou-rt rt¬ court- 7 - ¬ the. x\u00ad ab_ (met".split(" ")), max_size=4).map(" ".join), max_size=9).map("\n".join), st.sets(st.sampled_from(["clerk", "cle-metric", "courtrt", "metriccle", "cle", "rt¬", "met"])))
+@settings(max_examples=400, deadline=None)
+def test_asked_are_all_words_that_a_page_looks_up(text, rare):
+    lex = scan_noise.Lexicon({w: 1000 for w in "the court met".split()})
+    lex.rare = _Asked(rare)
+    lex.rare.seen = set()
+    got = scan_noise.Page(text, [], set(), lex)
+    read = got.read()
+    own = scan_noise.asked(text)
+    assert lex.rare.seen - {""} <= own
+    lex.rare = frozenset(rare & own)  # the lexicon's memory of other texts changes nothing
+    again = scan_noise.Page(text, [], set(), lex)
+    assert again.read() == read and again.kinds == got.kinds
+
+
+def test_rare_words_broken_over_lines_are_joined_where_they_are_many(spark, monkeypatch):
+    """A rare word in two halves, with one mark or another, another line in between or a hyphen of its own; no text has it whole."""
+    rows = [(i, "a", "the court decided that the buyer may keep the land " * 3) for i in range(200)] + [(200 + i, "p", "replevin usufructuary quasi-delict") for i in range(4)]
+    broken = ["the court may keep reple-\nvin", "the court may keep usufruc¬\n\nthe buyer\ntuary land", "the land quasi-\ndelict", "the repl-\nevin usu-\nfructuary land", "the buyer may zzyq-\nvin"]
+    rows += [(300 + i, "a", t) for i, t in enumerate(broken)]
+    chunks = spark.createDataFrame(rows, "chunk_key long, source string, page_content string")
+    qa = spark.createDataFrame([], "row_id long, source string, context string")
+    sources = spark.createDataFrame([("a", "scan", "Quite Another Title"), ("p", "portal", "X")], "source string, kind string, title string")
+    monkeypatch.setattr(scan_noise, "SHARE", 0.01)
+    got = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(scan_noise, "RARE", most)
+        got.append(({(r.row_key, r.noise) for r in scan_noise.found(chunks, qa, sources).collect()}, {r.row_key: r.text for r in scan_noise.repaired(chunks, qa, sources).collect()}))
+    assert got[0] == got[1]
+    assert got[1][0] == {(300, "hyphen"), (301, "hyphen"), (303, "hyphen")} and got[1][1][300] == "the court may keep replevin"
+
+
 def test_look_alikes_of_more_scripts():
     assert lookalikes.canonical("ꓮ ꓐꓳ ⲟ ꮃ ꮩ ᴠ ᴏ ᴡ ᴢ ɑ ѡ ʋ") == "A BO o w v v o w z a w u"
     assert lookalikes.canonical("− ‐ ⁃ ‚ ∕ ׃ ǃ ꞌ") == "- - - , / : ! '"
